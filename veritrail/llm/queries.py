@@ -1,17 +1,32 @@
-"""Queries of the problems on training text (4, 8, 9, 10) and their SQL."""
+"""Queries of the problems on training text (3, 4, 8, 9, 10) and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veritrail.llm.formatting_copies import copy_counts, formatting_copies
 from veritrail.llm.leaks import leak_report, leaked_passages
 from veritrail.llm.packing import packed, packing_report, token_counts
+from veritrail.llm.personal import personal_spans, redacted
 from veritrail.llm.truncation import cut_texts, truncation_report
 from veritrail.operators.shared import stage
 from veritrail.sources.tables import table
 
 
+def _messages(spark: SparkSession, root: str) -> DataFrame:
+    turns = table(spark, root, "turns", "turn_id", "text").select(F.lit("turns").alias("src"), F.col("turn_id").alias("rec_id"), "text")
+    return turns.unionByName(table(spark, root, "rejections", "rejection_id", "text").select(F.lit("rejections").alias("src"), F.col("rejection_id").alias("rec_id"), "text"))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return personal_spans(_messages(spark, root))
+
+
+def p3_redacted(spark: SparkSession, root: str) -> DataFrame:
+    messages = _messages(spark, root)
+    return redacted(messages, personal_spans(messages))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return formatting_copies(table(spark, root, "raw_facts", "raw_id", "corpus", "payload"), "raw_id", "corpus", "payload")
 
@@ -47,7 +62,7 @@ def p10_sources(spark: SparkSession, root: str) -> DataFrame:
     return truncation_report(docs, cut_texts(docs, "doc_id", "text", "source"), "source")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_copies, p8_packed, p8_report, p9_found, p9_items, p10_found, p10_sources)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p4_found, p4_copies, p8_packed, p8_report, p9_found, p9_items, p10_found, p10_sources)}
 
 _COPIES = r"""
 WITH fields AS (
