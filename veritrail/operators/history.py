@@ -47,7 +47,7 @@ def _local_versions(keys: list[str]):
         end[:-1] = np.where(follows, np.minimum(end[:-1], start[1:]), end[:-1])
         values, _ = pd.factorize(pdf["_v"])
         joined = np.zeros(len(pdf), dtype=bool)
-        joined[1:] = follows & (end[:-1] == start[1:]) & (values[1:] == values[:-1])
+        joined[1:] = follows & (end[:-1] == start[1:]) & (end[1:] > start[1:]) & (values[1:] == values[:-1])
         at = np.flatnonzero(~joined)
         last = np.concatenate([at[1:] - 1, [len(pdf) - 1]])
         out = pdf.iloc[at].copy()
@@ -89,7 +89,7 @@ def _stitch(bounds: list, keys: list[str]) -> list[tuple]:
         label = None
         if held and held["key"] == first_key:
             rows[-1]["cut"] = first["_s"]
-            if min(held["e"], first["_s"]) == first["_s"] and held["v"] == first["_v"]:
+            if min(held["e"], first["_s"]) == first["_s"] < first["_e"] and held["v"] == first["_v"]:
                 label = held["label"]
         rows.append({"part": bound["_part"], "fk": first_key, "fs": first["_s"], "label": label, "lk": last_key, "ls": last["_s"], "cut": None})
         alone = (first_key, first["_s"]) == (last_key, last["_s"])

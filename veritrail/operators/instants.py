@@ -202,7 +202,7 @@ def normalised_instants(rows: DataFrame, kept: str | None = None) -> DataFrame:
     with one id come out as often as they go in.
     """
     spark = rows.sparkSession
-    said = rows.filter(F.col("raw").isNotNull())
+    said = rows.filter(F.col("raw").isNotNull()).select("src", "rec_id", "raw", "locale", "zone")
     book = extend_dictionary(spark, said.select("raw", "locale", "zone"), kept).filter(F.col("utc_us").isNotNull())
     # nulls in the key would not join: they become a value no locale or zone has
     plain = lambda df: df.withColumns({k: F.coalesce(k, F.lit("\u0000")) for k in ("locale", "zone")})
