@@ -41,7 +41,7 @@ def test_limit_of_a_source_is_found(spark, rows):
         source = "limited" if i % 3 else None
         if source and len(text) > 200:
             text = text[:197] + "..." if i % 2 else text[:200]
-            if not text.endswith(".") or text.endswith("..."):
+            if not text.rstrip().endswith(".") or text.endswith("..."):
                 want.add(i)
         data.append((i, text, source, "junk", 1))
     data += [(5000, "", "limited", "", 1), (5001, None, "limited", "", 1), (5002, '{"a": ["b. c.', "x", "", 1), (5003, '{"a": ["b"]}', "x", "", 1), (5004, "word. " * 30_000 + "And the", "x", "", 1)]
