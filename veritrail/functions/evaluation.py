@@ -33,11 +33,12 @@ def scorecard(records: DataFrame, by: str) -> DataFrame:
 
 def judged(records: DataFrame, gold: str, prediction: str) -> DataFrame:
     """Adds ``correct`` and ``why``: a decline, the gold answer contained, or 85 % of its words."""
-    want, got = plain_answer(gold), plain_answer(prediction)
+    want, got = F.col("_want"), F.col("_got")
     words = F.array_distinct(F.split(want, " "))
     overlap = F.size(F.array_intersect(words, F.split(got, " "))) / F.size(words)
     why = F.when(declines(prediction), "declined").when((want != "") & got.contains(want), "contained").when((want != "") & (overlap >= 0.85), "overlap").otherwise("no match")
-    return records.withColumn("why", why).withColumn("correct", F.col("why").isin("contained", "overlap"))
+    plain = records.withColumn("_want", plain_answer(gold)).withColumn("_got", plain_answer(prediction))
+    return plain.withColumn("why", why).withColumn("correct", F.col("why").isin("contained", "overlap")).drop("_want", "_got")
 
 
 def quotas(weights: DataFrame, key: str, n: str, total: int) -> DataFrame:

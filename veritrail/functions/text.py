@@ -21,6 +21,11 @@ ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩ
 PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def words(text: Column | str) -> Column:
     """Lower-case runs of letters or digits."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
@@ -62,8 +67,7 @@ def stem(word: Column | str) -> Column:
 
 def content_words(text: Column | str) -> Column:
     """``words`` without stopwords, unstemmed."""
-    stop = F.array(*(F.lit(s) for s in STOPWORDS))
-    return F.filter(words(text), lambda w: ~F.array_contains(stop, w))
+    return F.filter(words(text), lambda w: ~w.isin(*STOPWORDS))
 
 
 def fold(text: Column | str) -> Column:
@@ -130,20 +134,15 @@ ABSTENTIONS = (
 
 def declines(text: Column | str) -> Column:
     """Whether an answer declines for lack of evidence; an empty one does."""
-    plain = plain_answer(text)
-    found = F.lit(False)
-    for phrase in ABSTENTIONS:
-        found = found | plain.contains(phrase)
-    return (plain == "") | found
+    return let(plain_answer(text), lambda plain: (plain == "") | plain.rlike("|".join(ABSTENTIONS)))
 
 
 def phrases(text: Column | str, most: int = 3) -> Column:
     """Runs of up to ``most`` neighbouring words none of which is a stopword or a single letter."""
-    stop = F.array(*(F.lit(s) for s in STOPWORDS))
     found = words(text)
 
     def of(size: int) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(found) - size + 1)), lambda i: F.slice(found, i, size))
-        return F.transform(F.filter(runs, lambda r: (F.size(r) == size) & F.forall(r, lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))), lambda r: F.array_join(r, " "))
+        return F.transform(F.filter(runs, lambda r: (F.size(r) == size) & F.forall(r, lambda w: (F.length(w) >= 2) & ~w.isin(*STOPWORDS))), lambda r: F.array_join(r, " "))
 
     return F.array_distinct(F.concat(*(of(n) for n in range(most, 0, -1))))
