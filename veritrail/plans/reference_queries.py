@@ -8,7 +8,7 @@ from veritrail.functions import evaluation as ev
 from veritrail.functions import text as tx
 from veritrail.operators import audit, conversation, evidence, graph, lexical, names, reconcile, screening
 from veritrail.operators.shared import stage
-from veritrail.sources.tables import table
+from veritrail.sources.tables import table, texts
 
 AS_OF = 1_735_689_600  # 2025-01-01 UTC
 
@@ -35,7 +35,7 @@ def _judged(spark: SparkSession, root: str) -> DataFrame:
 
 
 def postings_build(spark, root):
-    return lexical.postings(table(spark, root, "documents", "corpus", "doc_id", "text"), "corpus", "doc_id", "text")
+    return lexical.postings(texts(spark, root, "documents", "doc_id", "corpus", "text"), "corpus", "doc_id", "text")
 
 
 def tokenize_stem(spark, root):
@@ -201,7 +201,7 @@ def explain_fact(spark, root):
 
 
 def policy_screen(spark, root):
-    turns = table(spark, root, "turns", "turn_id", "text", "trank").dropDuplicates(["turn_id"]).select(F.lit("turns").alias("src"), F.col("turn_id").alias("rec_id"), screening.screened(F.col("text"), F.col("trank")).alias("rule"))
+    turns = texts(spark, root, "turns", "turn_id", "text", "trank").dropDuplicates(["turn_id"]).select(F.lit("turns").alias("src"), F.col("turn_id").alias("rec_id"), screening.screened(F.col("text"), F.col("trank")).alias("rule"))
     rank = F.array_position(F.array(*(F.lit(t) for t in conversation.TIERS)), F.col("tier")) - 1
     injected = table(spark, root, "injected_turns", "inj_id", "content", "tier").select(F.lit("injected_turns").alias("src"), F.col("inj_id").alias("rec_id"), screening.screened(F.col("content"), rank).alias("rule"))
     return turns.unionByName(injected).filter(F.col("rule").isNotNull())
