@@ -10,12 +10,12 @@ from veritrail.llm.packing import packed, packing_report, token_counts
 from veritrail.llm.personal import personal_spans, redacted
 from veritrail.llm.truncation import cut_texts, truncation_report
 from veritrail.operators.shared import stage
-from veritrail.sources.tables import table
+from veritrail.sources.tables import table, texts
 
 
 def _messages(spark: SparkSession, root: str) -> DataFrame:
-    turns = table(spark, root, "turns", "turn_id", "text").select(F.lit("turns").alias("src"), F.col("turn_id").alias("rec_id"), "text")
-    return turns.unionByName(table(spark, root, "rejections", "rejection_id", "text").select(F.lit("rejections").alias("src"), F.col("rejection_id").alias("rec_id"), "text"))
+    turns = texts(spark, root, "turns", "turn_id", "text").select(F.lit("turns").alias("src"), F.col("turn_id").alias("rec_id"), "text")
+    return turns.unionByName(texts(spark, root, "rejections", "rejection_id", "text").select(F.lit("rejections").alias("src"), F.col("rejection_id").alias("rec_id"), "text"))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -28,7 +28,7 @@ def p3_redacted(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    return formatting_copies(table(spark, root, "raw_facts", "raw_id", "corpus", "payload"), "raw_id", "corpus", "payload")
+    return formatting_copies(texts(spark, root, "raw_facts", "raw_id", "corpus", "payload"), "raw_id", "corpus", "payload")
 
 
 def p4_copies(spark: SparkSession, root: str) -> DataFrame:
@@ -37,7 +37,7 @@ def p4_copies(spark: SparkSession, root: str) -> DataFrame:
 
 def p8_packed(spark: SparkSession, root: str) -> DataFrame:
     sizes = {r["size_id"]: r["capacity"] for r in table(spark, root, "context_sizes", "size_id", "capacity").collect()}  # a fixed table
-    counts = stage(token_counts(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text"), "tokens")
+    counts = stage(token_counts(texts(spark, root, "documents", "doc_id", "text"), "doc_id", "text"), "tokens")
     return packed(counts, "doc_id", sizes)
 
 
@@ -46,7 +46,7 @@ def p8_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
-    return leaked_passages(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text", table(spark, root, "eval_items", "item_id", "text"), "item_id", "text")
+    return leaked_passages(texts(spark, root, "documents", "doc_id", "text"), "doc_id", "text", table(spark, root, "eval_items", "item_id", "text"), "item_id", "text")
 
 
 def p9_items(spark: SparkSession, root: str) -> DataFrame:
@@ -54,11 +54,11 @@ def p9_items(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
-    return cut_texts(table(spark, root, "documents", "doc_id", "text", "source"), "doc_id", "text", "source").select("doc_id")
+    return cut_texts(texts(spark, root, "documents", "doc_id", "text", "source"), "doc_id", "text", "source").select("doc_id")
 
 
 def p10_sources(spark: SparkSession, root: str) -> DataFrame:
-    docs = table(spark, root, "documents", "doc_id", "text", "source")
+    docs = texts(spark, root, "documents", "doc_id", "text", "source")
     return truncation_report(docs, cut_texts(docs, "doc_id", "text", "source"), "source")
 
 
