@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from veritrail.functions.text import content_words, stem
+from veritrail.operators.shared import stage
 
 K1, B = 1.5, 0.75
 
@@ -32,7 +33,8 @@ def search(docs: DataFrame, questions: DataFrame, scope: str, doc_id: str, text:
     sized = docs.select(scope, doc_id, content_words(text).alias("ws")).withColumn("len", F.size("ws"))
     stats = sized.groupBy(scope).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
     tokens = sized.select(scope, doc_id, "len", F.explode("ws").alias("w")).select(scope, doc_id, "len", stem("w").alias("term"))
-    counted = tokens.join(wanted, [scope, "term"], "left_semi").groupBy(scope, "term", doc_id, "len").agg(F.count("*").alias("tf"))
+    # written once: both the document frequencies and the scores come from it
+    counted = stage(tokens.join(wanted, [scope, "term"], "left_semi").groupBy(scope, "term", doc_id, "len").agg(F.count("*").alias("tf")), "postings")
     df = counted.groupBy(scope, "term").agg(F.count("*").alias("df"))
     # what depends on the term alone is joined to the few query terms first
     weighed = asked.join(df, [scope, "term"]).join(stats, scope).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
