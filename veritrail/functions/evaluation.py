@@ -43,10 +43,10 @@ def judged(records: DataFrame, gold: str, prediction: str) -> DataFrame:
 
 def quotas(weights: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """``total`` places shared out in proportion to ``n`` by largest remainders (ties by key)."""
-    everything = weights.agg(F.sum(n).alias("_pool"))
-    exact = F.lit(total) * F.col(n) / F.col("_pool")
-    parts = weights.crossJoin(F.broadcast(everything)).withColumn("_base", F.floor(exact)).withColumn("_rest", F.round(exact - F.floor(exact), 12))
     # one row per key: the number of keys is that of a category
+    exact = F.lit(total) * F.col(n) / F.col("_pool")
+    pooled = weights.withColumn("_pool", F.sum(n).over(Window.partitionBy()))
+    parts = pooled.withColumn("_base", F.floor(exact)).withColumn("_rest", F.round(exact - F.floor(exact), 12))
     order = Window.orderBy(F.desc("_rest"), key)
     ranked = parts.withColumn("_i", F.row_number().over(order)).withColumn("_left", F.lit(total) - F.sum("_base").over(Window.partitionBy()))
     return ranked.select(key, n, F.least(F.col(n), F.col("_base") + (F.col("_i") <= F.col("_left")).cast("long")).alias("quota"))

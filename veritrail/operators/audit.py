@@ -9,14 +9,14 @@ def integrity(facts: DataFrame, turns: DataFrame, verdicts: DataFrame) -> DataFr
     """One row: facts, facts without a turn, dangling citations, citations of quarantined facts, ok."""
     known = facts.dropDuplicates(["fact_id"]).select("fact_id", "corpus", "sid", "tidx", "status")
     placed = turns.select("corpus", "sid", F.col("idx").alias("tidx")).distinct()
-    orphans = known.join(placed, ["corpus", "sid", "tidx"], "left_anti").agg(F.count("*").alias("orphans"))
+    lost = known.join(placed, ["corpus", "sid", "tidx"], "left_anti")
     cited = verdicts.dropDuplicates(["verdict_id"]).select("verdict_id", "answered", F.explode("citations").alias("fact_id")).filter(F.coalesce("fact_id", F.lit(0)) != 0).distinct()
     seen = cited.join(known.select("fact_id", "status"), "fact_id", "left")
-    counts = seen.agg(F.count_if(F.col("status").isNull()).alias("dangling"), F.count_if((F.col("status") == "quarantined") & F.col("answered")).alias("leaked"))
-    total = known.agg(F.count("*").alias("facts"))
-    # three single rows
-    joined = total.crossJoin(orphans).crossJoin(counts)
-    return joined.withColumn("ok", (F.col("orphans") == 0) & (F.col("dangling") == 0) & (F.col("leaked") == 0))
+    leaked = (F.col("status") == "quarantined") & F.col("answered")
+    one = lambda df, **hits: df.agg(*((hits[n] if n in hits else F.lit(0).cast("long")).alias(n) for n in ("facts", "orphans", "dangling", "leaked")))
+    parts = one(known, facts=F.count("*")).unionByName(one(lost, orphans=F.count("*"))).unionByName(one(seen, dangling=F.count_if(F.col("status").isNull()), leaked=F.count_if(leaked)))
+    sums = parts.agg(*(F.sum(n).alias(n) for n in parts.columns))
+    return sums.withColumn("ok", (F.col("orphans") == 0) & (F.col("dangling") == 0) & (F.col("leaked") == 0))
 
 
 def explained(facts: DataFrame, sessions: DataFrame, verdicts: DataFrame, edges: DataFrame) -> DataFrame:

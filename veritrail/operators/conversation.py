@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veritrail.functions.text import estimated_tokens
 
@@ -45,16 +45,26 @@ def windows(turns: DataFrame, size: int = 6, overlap: int = 2) -> DataFrame:
 def within_budget(turns: DataFrame, budget: int) -> DataFrame:
     """Newest turns first while their estimated tokens fit; too long ones are skipped, not a stop.
 
-    The newest is always kept. Per session the lengths (not the texts) are folded in order.
+    Returns corpus, sid, used, kept, dropped; the newest turn is always kept. What is used only
+    grows, so of turns of one cost only the newest ``budget / cost`` can be kept, and of those
+    beyond the budget only the newest: at most about ``budget * ln(budget)`` turns of a session
+    are folded in order, however many it has.
     """
-    rows = turns.dropDuplicates(["turn_id"]).filter(F.col("idx").isNotNull()).select("corpus", "sid", F.struct((-F.col("idx")).alias("back"), "turn_id", estimated_tokens(F.coalesce("text", F.lit(""))).alias("cost")).alias("t"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("kept"), F.lit(0).cast("long").alias("dropped"))
+    rows = turns.dropDuplicates(["turn_id"]).filter(F.col("idx").isNotNull()).select("corpus", "sid", (-F.col("idx")).alias("back"), "turn_id", estimated_tokens(F.coalesce("text", F.lit(""))).alias("cost"))
+    level = F.least(F.col("cost"), F.lit(budget + 1))
+    place = F.row_number().over(Window.partitionBy("corpus", "sid", "level").orderBy("back", "turn_id"))
+    # the constant bound lets every task cut its groups before the shuffle
+    newest = rows.withColumn("level", level).withColumn("n", place).filter(F.col("n") <= budget).filter(F.col("n") <= F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("level"))))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("kept"))
 
     def fold(acc: Column, t: Column) -> Column:
         fits = (acc["used"] + t["cost"] <= budget) | (acc["kept"] == 0)
-        return F.struct((acc["used"] + F.when(fits, t["cost"]).otherwise(F.lit(0))).alias("used"), (acc["kept"] + fits.cast("long")).alias("kept"), (acc["dropped"] + (~fits).cast("long")).alias("dropped"))
+        return F.struct((acc["used"] + F.when(fits, t["cost"]).otherwise(F.lit(0))).alias("used"), (acc["kept"] + fits.cast("long")).alias("kept"))
 
-    return rows.groupBy("corpus", "sid").agg(F.aggregate(F.array_sort(F.collect_list("t")), start, fold).alias("r")).select("corpus", "sid", "r.*")
+    folded = newest.groupBy("corpus", "sid").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("back", "turn_id", "cost"))), start, fold).alias("r"))
+    total = rows.groupBy("corpus", "sid").agg(F.count("*").alias("all"))
+    both = folded.join(total, folded["corpus"].eqNullSafe(total["corpus"]) & folded["sid"].eqNullSafe(total["sid"]))
+    return both.select(folded["corpus"], folded["sid"], "r.used", "r.kept", (F.col("all") - F.col("r.kept")).alias("dropped"))
 
 
 def origins(turns: DataFrame) -> DataFrame:

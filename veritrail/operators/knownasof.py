@@ -10,8 +10,6 @@ other rows enter the one or two slabs in which they begin or end. Every event li
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -91,44 +89,40 @@ class PersistentTree:
             node = self.left[node]
 
 
-def _answers(keys: list[str]):
+def _ask(key: tuple, facts: pd.DataFrame, events: pd.DataFrame) -> pd.DataFrame:
     """One shard: its entities' trees are built one after another and asked in order of time."""
-
-    def ask(key: tuple, facts: pd.DataFrame, events: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        found_key, found_t, found_id = [], [], []
-        facts = facts.reset_index(drop=True)
-        groups = facts.groupby("_e", sort=False).indices
-        for entity, rows in events.groupby("_e", sort=False).indices.items():
-            mine = groups.get(entity)
-            if mine is None:
-                continue
-            part = facts.iloc[mine]
-            changes = []
-            for n, (start, fact, known, end, end_known) in enumerate(zip(*(part[c].to_numpy().tolist() for c in ("_from", "_id", "_known", "_to", "_to_known")))):
-                key = (start, fact, n)
-                changes.append((known, 0, key, OPEN_END))
-                if end != OPEN_END and end_known != OPEN_END:
-                    changes.append((max(known, end_known), 1, key, end))
-            changes.sort()
-            tree, root, times, roots = PersistentTree(), 0, [], []
-            for known, _, key, end in changes:
-                root = tree.put(root, key, end)
-                if times and times[-1] == known:
-                    roots[-1] = root
-                else:
-                    times.append(known)
-                    roots.append(root)
-            asked = np.unique(events["_t"].to_numpy()[rows])
-            version = np.searchsorted(np.asarray(times), asked, side="right") - 1
-            for t, v in zip(asked.tolist(), version.tolist()):
-                hit = tree.search(roots[v], t) if v >= 0 else None
-                if hit:
-                    found_key.append(entity)
-                    found_t.append(t)
-                    found_id.append(hit[1])
-        return pd.DataFrame({"_e": pd.Series(found_key, dtype=object), "_t": pd.Series(found_t, dtype="int64"), "_id": pd.Series(found_id, dtype="int64")})
-
-    return ask
+    found_key, found_t, found_id = [], [], []
+    facts = facts.reset_index(drop=True)
+    groups = facts.groupby("_e", sort=False).indices
+    for entity, rows in events.groupby("_e", sort=False).indices.items():
+        mine = groups.get(entity)
+        if mine is None:
+            continue
+        part = facts.iloc[mine]
+        changes = []
+        for n, (start, fact, known, end, end_known) in enumerate(zip(*(part[c].to_numpy().tolist() for c in ("_from", "_id", "_known", "_to", "_to_known")))):
+            key = (start, fact, n)
+            changes.append((known, 0, key, OPEN_END))
+            if end != OPEN_END and end_known != OPEN_END:
+                changes.append((max(known, end_known), 1, key, end))
+        changes.sort()
+        tree, root, times, roots = PersistentTree(), 0, [], []
+        for known, _, key, end in changes:
+            root = tree.put(root, key, end)
+            if times and times[-1] == known:
+                roots[-1] = root
+            else:
+                times.append(known)
+                roots.append(root)
+        asked = np.unique(events["_t"].to_numpy()[rows])
+        version = np.searchsorted(np.asarray(times), asked, side="right") - 1
+        for t, v in zip(asked.tolist(), version.tolist()):
+            hit = tree.search(roots[v], t) if v >= 0 else None
+            if hit:
+                found_key.append(entity)
+                found_t.append(t)
+                found_id.append(hit[1])
+    return pd.DataFrame({"_e": pd.Series(found_key, dtype=object), "_t": pd.Series(found_t, dtype="int64"), "_id": pd.Series(found_id, dtype="int64")})
 
 
 def _open(column: str):
@@ -205,6 +199,6 @@ def known_at(
     shard = F.pmod(F.xxhash64("_e", "_slab"), F.lit(shards)).cast("int").alias("_shard")
     left = edges.unionByName(covers).select(shard, F.concat("_e", F.lit("#"), "_slab").alias("_e"), "_from", "_id", "_known", "_to", "_to_known")
     right = placed.select(shard, F.concat("_e", F.lit("#"), "_slab").alias("_e"), "_t")
-    hits = left.groupBy("_shard").cogroup(right.groupBy("_shard")).applyInPandas(_answers(keys), "_e string, _t long, _id long")
+    hits = left.groupBy("_shard").cogroup(right.groupBy("_shard")).applyInPandas(_ask, "_e string, _t long, _id long")
     answers = hits.select(F.regexp_replace("_e", "#[0-9]+$", "").alias("_e"), "_t", "_id").join(times, ["_e", "_t"])
     return lookup(asked, answers, ["_e", "_t"], "_n").select(F.col("_event").alias(event_id), F.col("_id").alias(fact_id))

@@ -24,13 +24,14 @@ def merged_claims(records: DataFrame) -> DataFrame:
     Earliest start, greatest confidence plus 0.05 for every further session (at most 1), union of
     entities, number of records and sessions. Repeated rows count once.
     """
-    rows = records.dropDuplicates(["rec_id"]).select("corpus", entity_key("subject").alias("subj"), predicate_key("predicate").alias("pred"), entity_key("object").alias("obj"), "sid", "valid_from", "conf", "entities")
-    per_session = rows.groupBy("corpus", "subj", "pred", "obj", "sid").agg(F.count("*").alias("n"), F.min("valid_from").alias("vfrom"), F.max("conf").alias("conf"), F.array_distinct(F.flatten(F.collect_set(F.coalesce("entities", F.array().cast("array<string>"))))).alias("entities"))
-    merged = per_session.groupBy("corpus", "subj", "pred", "obj").agg(
-        F.sum("n").alias("records"), F.count("sid").alias("sessions"), F.min("vfrom").alias("vfrom"), F.max("conf").alias("conf"), F.array_distinct(F.flatten(F.collect_set("entities"))).alias("entities")
-    )
+    rows = records.dropDuplicates(["rec_id"]).select(F.coalesce("corpus", F.lit("")).alias("corpus"), entity_key(F.coalesce("subject", F.lit(""))).alias("subj"), predicate_key(F.coalesce("predicate", F.lit(""))).alias("pred"), entity_key(F.coalesce("object", F.lit(""))).alias("obj"), "sid", "valid_from", "conf", "entities")
+    key = ["corpus", "subj", "pred", "obj"]
+    per_session = rows.groupBy(*key, "sid").agg(F.count("*").alias("n"), F.min("valid_from").alias("vfrom"), F.max("conf").alias("conf"))
+    merged = per_session.groupBy(*key).agg(F.sum("n").alias("records"), F.count("sid").alias("sessions"), F.min("vfrom").alias("vfrom"), F.max("conf").alias("conf"))
+    # distinct before counting, so that no group is gathered as an array
+    named = rows.select(*key, F.explode("entities").alias("e")).filter(F.col("e").isNotNull()).distinct().groupBy(*key).agg(F.count("*").cast("int").alias("n_entities"))
     bonus = 0.05 * F.greatest(F.col("sessions") - 1, F.lit(0))
-    return merged.select("corpus", "subj", "pred", "obj", "records", "sessions", "vfrom", F.round(F.least(F.lit(1.0), F.col("conf") + bonus), 6).alias("conf"), F.size("entities").alias("n_entities"))
+    return merged.join(named, key, "left").select(*key, "records", "sessions", "vfrom", F.round(F.least(F.lit(1.0), F.col("conf") + bonus), 6).alias("conf"), F.coalesce("n_entities", F.lit(0)).alias("n_entities"))
 
 
 def judged_claims(facts: DataFrame, predicates: DataFrame) -> DataFrame:

@@ -186,7 +186,7 @@ SELECT *, ['external', 'tool', 'assistant', 'owner'][rank + 1] AS tier FROM rank
     "fact_dedupe_merge": f"""
 WITH records AS (SELECT corpus, {_ek('subject')} AS subj, {_pk('predicate')} AS pred, {_ek('object')} AS obj, sid, valid_from, conf, entities FROM extracted_facts QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY ingested_at) = 1)
 SELECT corpus, subj, pred, obj, count(*) AS records, count(DISTINCT sid) AS sessions, min(valid_from) AS vfrom,
-  round(least(1.0, max(conf) + 0.05 * greatest(count(DISTINCT sid) - 1, 0)), 6) AS conf, CAST(len(list_distinct(flatten(list(coalesce(entities, []))))) AS INTEGER) AS n_entities
+  round(least(1.0, max(conf) + 0.05 * greatest(count(DISTINCT sid) - 1, 0)), 6) AS conf, CAST(len(list_distinct(list_filter(flatten(list(coalesce(entities, []))), lambda e: e IS NOT NULL))) AS INTEGER) AS n_entities
 FROM records GROUP BY corpus, subj, pred, obj""",
     "reconcile_edges": f"WITH {_CLAIMS} SELECT rel, src, dst FROM edges_",
     "reconcile_contradict": f"WITH {_CLAIMS} SELECT src AS newer, dst AS standing FROM edges_ WHERE rel = 'CONTRADICTS'",
