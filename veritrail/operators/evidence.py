@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from veritrail.functions.text import entity_key, predicate_key
+from veritrail.functions.text import content_words, entity_key, predicate_key, stem
 from veritrail.operators.graph import entity_node, expand, fact_node
 from veritrail.operators.lexical import search
 from veritrail.operators.shared import stage
@@ -19,6 +19,21 @@ def fact_texts(facts: DataFrame, turns: DataFrame) -> DataFrame:
     return facts.join(said, ["corpus", "sid", "tidx"], "left").select("corpus", "fact_id", F.concat_ws(" ", "text", "subj", "pred", "obj", "said").alias("body"))
 
 
+def quotable(found: DataFrame, questions: DataFrame, facts: DataFrame, floor: float = 0.45, margin: float = 0.08, coverage: float = 0.5) -> DataFrame:
+    """Answers that may be quoted without a model: step_id, fact_id.
+
+    The best evidence of a question must score ``floor``, lead the next by ``margin`` and hold
+    ``coverage`` of what was asked beyond the names of the subject.
+    """
+    top = found.filter(F.col("rank") <= 2).groupBy("step_id").agg(F.min_by("fact_id", "rank").alias("fact_id"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("best"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("next"))
+    clear = top.filter((F.col("best") >= floor) & (F.col("next").isNull() | (F.col("best") - F.col("next") >= margin)))
+    stems = lambda c: F.array_distinct(F.transform(content_words(c), stem))
+    asked = questions.select("step_id", F.array_except(stems(F.col("question")), stems(F.coalesce("subj", F.lit("")))).alias("wanted")).filter(F.size("wanted") > 0)
+    held = facts.dropDuplicates(["fact_id"]).select("fact_id", stems(F.regexp_replace(F.concat_ws(" ", "text", "subj", "pred", "obj"), "_", " ")).alias("held"))
+    joined = clear.join(asked, "step_id").join(held, "fact_id")
+    return joined.filter(F.size(F.array_intersect("wanted", "held")) / F.size("wanted") >= coverage).select("step_id", "fact_id")
+
+
 def evidence(questions: DataFrame, facts: DataFrame, turns: DataFrame, edges: DataFrame, corroboration: DataFrame, single: DataFrame, k: int = 64, floor: float = 0.05) -> DataFrame:
     """Ranked evidence per question: step_id, fact_id, rank, score, hops, lexical.
 

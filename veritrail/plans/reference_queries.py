@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veritrail.functions import evaluation as ev
 from veritrail.functions import text as tx
-from veritrail.operators import audit, conversation, evidence, graph, lexical, names, reconcile, screening
+from veritrail.operators import audit, claims, conversation, evidence, graph, lexical, names, reconcile, screening
 from veritrail.operators.shared import stage
 from veritrail.sources.tables import table, texts
 
@@ -299,6 +299,41 @@ def upsert_facts(spark, root):
     return audit.upserted(old, new, "fact_id")
 
 
+def _slots(spark, root):
+    """The fixed vocabulary: all slots and the single-valued ones."""
+    rows = table(spark, root, "predicates").orderBy("pred").collect()
+    return [r["pred"] for r in rows], [r["pred"] for r in rows if r["arity"] == "single"]
+
+
+def extractive_gate(spark, root):
+    return evidence.quotable(warrant_rank(spark, root), _questions(spark, root), _facts(spark, root))
+
+
+def rules_extract(spark, root):
+    return claims.extracted_claims(texts(spark, root, "turns", "turn_id", "text", "trank"), _slots(spark, root)[0])
+
+
+def predicate_normalize(spark, root):
+    known, single = _slots(spark, root)
+    said = table(spark, root, "extracted_facts", "predicate").distinct()
+    slot = claims.canonical_slot(F.col("predicate"), known)
+    return said.select("predicate", slot.alias("slot"), claims.single_valued(slot, single, known).alias("single"), claims.has_ended(F.col("predicate")).alias("ended"))
+
+
+def ingest_report(spark, root):
+    turns = _turns(spark, root).groupBy("corpus").agg(F.count("*").alias("turns"))
+    facts = _facts(spark, root).groupBy("corpus").agg(F.count("*").alias("facts"), F.count_if(F.col("status") == "quarantined").alias("quarantined"), F.count_if(F.col("status") == "superseded").alias("superseded"))
+    refused = table(spark, root, "rejections", "rejection_id", "corpus").dropDuplicates(["rejection_id"]).groupBy("corpus").agg(F.count("*").alias("rejections"))
+    joined = turns.join(facts, "corpus", "full").join(refused, "corpus", "full")
+    return joined.select("corpus", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("turns", "facts", "quarantined", "superseded", "rejections")))
+
+
+def paths_between(spark, root):
+    """Sessions within three steps of an asked entity."""
+    seeds = _questions(spark, root).filter(F.col("subj").isNotNull()).select(F.col("step_id").alias("seed"), graph.entity_node("corpus", "subj").alias("node"))
+    return graph.expand(seeds, stage(_edges(spark, root), "edges"), ("MENTIONS", "DERIVED_FROM", "IN_SESSION"), 3).filter(F.col("node").startswith("session:"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -307,6 +342,6 @@ QUERIES = {
         lineage_depth, facts_as_of, corroboration_degree, entity_exact_prefix, alias_fold, graph_edges, paths_bounded, anchor_expand, neighbourhood, warrant_rank,
         orphans, dangling_edges, leaked_citations, integrity_report, history_topn, rejections_topn, explain_fact, policy_screen, policy_rules, admission_decisions,
         condemned_facts, identity_claims, tier_floor_matrix, citation_membership, gate_checks, qa_scorecard, poison_scorecard, dataset_stats, fallback_judge,
-        abstention_detect, stratified_sample, citation_changes, upsert_facts,
+        abstention_detect, stratified_sample, citation_changes, upsert_facts, extractive_gate, rules_extract, predicate_normalize, ingest_report, paths_between,
     )
 }

@@ -259,5 +259,18 @@ SELECT doc_id, source FROM documents JOIN q USING (source) QUALIFY row_number()
     "citation_changes": f"""WITH {_VERDICTS}, l AS (SELECT step_id, ts, verdict_id, list_distinct(list_filter(coalesce(citations, []), lambda c: c IS NOT NULL)) AS c FROM verdicts_u WHERE step_id IS NOT NULL),
 e AS (SELECT step_id, arg_min(c, (ts, verdict_id)) AS a, arg_max(c, (ts, verdict_id)) AS z FROM l GROUP BY step_id HAVING count(*) > 1)
 SELECT step_id, CAST(len(list_filter(z, lambda x: NOT list_contains(a, x))) AS INTEGER) AS gained, CAST(len(list_filter(a, lambda x: NOT list_contains(z, x))) AS INTEGER) AS lost FROM e""",
+    "extractive_gate": f"""WITH found_w AS ({_WARRANT}),
+asked_w AS (SELECT step_id, question, coalesce(subj, '') AS subj FROM walkthrough WHERE step_id % 100 = 0), facts_w AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY vfrom) = 1),
+ends AS (SELECT a.step_id, a.fact_id FROM found_w a LEFT JOIN found_w b ON b.step_id = a.step_id AND b.rank = 2 WHERE a.rank = 1 AND a.score >= 0.45 AND (b.score IS NULL OR a.score - b.score >= 0.08)),
+qw AS (SELECT step_id, unnest({_NOT_STOP % 'question'}) AS w FROM asked_w), nw AS (SELECT step_id, unnest({_NOT_STOP % 'subj'}) AS w FROM asked_w),
+want AS (SELECT step_id, {stem_sql('w')} AS t FROM qw EXCEPT SELECT step_id, {stem_sql('w')} FROM nw),
+bw AS (SELECT fact_id, unnest({_NOT_STOP % "replace(concat_ws(' ', text, subj, pred, obj), '_', ' ')"}) AS w FROM facts_w), body AS (SELECT DISTINCT fact_id, {stem_sql('w')} AS t FROM bw)
+SELECT e.step_id, e.fact_id FROM ends e JOIN want w ON w.step_id = e.step_id LEFT JOIN body b ON b.fact_id = e.fact_id AND b.t = w.t GROUP BY ALL HAVING count(b.t) / count(*) >= 0.5""",
+    "ingest_report": f"""WITH {_FACTS}, {_TURNS}, t AS (SELECT corpus, count(*) AS turns FROM turns_u GROUP BY corpus),
+f AS (SELECT corpus, count(*) AS facts, count_if(status = 'quarantined') AS quarantined, count_if(status = 'superseded') AS superseded FROM facts_u GROUP BY corpus),
+r AS (SELECT corpus, count(DISTINCT rejection_id) AS rejections FROM rejections GROUP BY corpus)
+SELECT corpus, coalesce(turns, 0) AS turns, coalesce(facts, 0) AS facts, coalesce(quarantined, 0) AS quarantined, coalesce(superseded, 0) AS superseded, coalesce(rejections, 0) AS rejections
+FROM t FULL JOIN f USING (corpus) FULL JOIN r USING (corpus)""",
+    "paths_between": f"""WITH {_FACTS}, {_TURNS}, {_ASKED}, {_EDGES}, {_expand('near', _ENTITY_SEEDS, "'MENTIONS', 'DERIVED_FROM', 'IN_SESSION'", 3)} SELECT seed, node, hops FROM near WHERE node LIKE 'session:%'""",
     "upsert_facts": f"WITH {_CLAIMS} SELECT fact_id, 'accepted' AS status, vfrom FROM valid UNION ALL SELECT fact_id, status, vfrom FROM facts_u WHERE fact_id NOT IN (SELECT fact_id FROM valid)",
 }
