@@ -31,14 +31,34 @@ def scorecard(records: DataFrame, by: str) -> DataFrame:
     )
 
 
+#: Fixed value: where one gold answer ends and an alternative begins.
+_ALTERNATIVES = r"\.\s+|;\s*|\s+\bor\b\s+|\s*/\s*|,\s+(?=which|also\b)"
+
+
+def alternatives(gold: Column | str) -> Column:
+    """The whole gold answer, then each part that could stand as an answer."""
+    whole = F.trim(F.coalesce(gold, F.lit("")))
+    parts = F.transform(F.split(whole, _ALTERNATIVES), lambda p: F.regexp_replace(p, r"^[ .]+|[ .]+$", ""))
+    return F.filter(F.array_distinct(F.concat(F.array(whole), parts)), lambda a: a != "")
+
+
+def numbers(text: Column) -> Column:
+    """The distinct numbers of a text, grouping commas dropped."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(-?\d[\d,]*(?:\.\d+)?)"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda n: F.regexp_replace(n, ",", "").cast("double")))
+
+
 def judged(records: DataFrame, gold: str, prediction: str) -> DataFrame:
-    """Adds ``correct`` and ``why``: a decline, the gold answer contained, or 85 % of its words."""
-    want, got = F.col("_want"), F.col("_got")
-    words = F.array_distinct(F.split(want, " "))
-    overlap = F.size(F.array_intersect(words, F.split(got, " "))) / F.size(words)
-    why = F.when(declines(prediction), "declined").when((want != "") & got.contains(want), "contained").when((want != "") & (overlap >= 0.85), "overlap").otherwise("no match")
-    plain = records.withColumn("_want", plain_answer(gold)).withColumn("_got", plain_answer(prediction))
-    return plain.withColumn("why", why).withColumn("correct", F.col("why").isin("contained", "overlap")).drop("_want", "_got")
+    """Adds ``correct`` and ``why``, the first that fits of: the answer declines, it contains a
+    gold alternative, it has all numbers of one, it has 85 % of the words of one."""
+    plain = records.withColumn("_alts", F.transform(alternatives(F.col(gold)), lambda a: F.struct(plain_answer(a).alias("t"), numbers(a).alias("n")))).withColumn("_got", plain_answer(prediction)).withColumn("_nums", numbers(F.col(prediction)))
+    got, words = F.col("_got"), F.split("_got", " ")
+    some = lambda test: F.exists("_alts", lambda a: (a["t"] != "") & test(a))
+    contained = some(lambda a: got.contains(a["t"]))
+    agree = some(lambda a: (F.size(a["n"]) > 0) & (F.size(F.array_except(a["n"], F.col("_nums"))) == 0))
+    overlap = some(lambda a: F.size(F.array_intersect(F.array_distinct(F.split(a["t"], " ")), words)) / F.size(F.array_distinct(F.split(a["t"], " "))) >= 0.85)
+    why = F.when(declines(prediction), "declined").when(contained, "contained").when(agree, "numbers").when(overlap, "overlap").otherwise("no match")
+    return plain.withColumn("why", why).withColumn("correct", F.col("why").isin("contained", "numbers", "overlap")).drop("_alts", "_got", "_nums")
 
 
 def quotas(weights: DataFrame, key: str, n: str, total: int) -> DataFrame:

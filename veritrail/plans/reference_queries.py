@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from veritrail.functions import evaluation as ev
 from veritrail.functions import text as tx
@@ -328,6 +328,22 @@ def ingest_report(spark, root):
     return joined.select("corpus", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("turns", "facts", "quarantined", "superseded", "rejections")))
 
 
+def walkthrough_check(spark, root):
+    """Answered steps that had to cite sessions, and whether a cited fact comes from one of them."""
+    must = table(spark, root, "walkthrough", "step_id", "must_cite_sessions").filter(F.size("must_cite_sessions") > 0)
+    sessions = table(spark, root, "facts", "fact_id", "sid").dropDuplicates(["fact_id"])
+    cited = _verdicts(spark, root).filter("answered").join(must, "step_id").select("verdict_id", "step_id", "must_cite_sessions", F.explode_outer("citations").alias("fact_id"))
+    hit = F.coalesce(F.array_contains("must_cite_sessions", F.col("sid")), F.lit(False))
+    return cited.join(sessions, "fact_id", "left").groupBy("verdict_id", "step_id").agg(F.max(hit).alias("met"))
+
+
+def evidence_lines(spark, root):
+    """Ranked evidence with its source turn, which is quoted only beside the first fact from it."""
+    found = warrant_rank(spark, root).join(_facts(spark, root).select("fact_id", "corpus", "sid", "tidx"), "fact_id")
+    first = F.row_number().over(Window.partitionBy("step_id", "corpus", "sid", "tidx").orderBy("rank")) == 1
+    return found.select("step_id", "fact_id", "rank", "sid", "tidx", first.alias("quoted"))
+
+
 def paths_between(spark, root):
     """Sessions within three steps of an asked entity."""
     seeds = _questions(spark, root).filter(F.col("subj").isNotNull()).select(F.col("step_id").alias("seed"), graph.entity_node("corpus", "subj").alias("node"))
@@ -342,6 +358,6 @@ QUERIES = {
         lineage_depth, facts_as_of, corroboration_degree, entity_exact_prefix, alias_fold, graph_edges, paths_bounded, anchor_expand, neighbourhood, warrant_rank,
         orphans, dangling_edges, leaked_citations, integrity_report, history_topn, rejections_topn, explain_fact, policy_screen, policy_rules, admission_decisions,
         condemned_facts, identity_claims, tier_floor_matrix, citation_membership, gate_checks, qa_scorecard, poison_scorecard, dataset_stats, fallback_judge,
-        abstention_detect, stratified_sample, citation_changes, upsert_facts, extractive_gate, rules_extract, predicate_normalize, ingest_report, paths_between,
+        abstention_detect, stratified_sample, citation_changes, upsert_facts, extractive_gate, rules_extract, predicate_normalize, ingest_report, walkthrough_check, evidence_lines, paths_between,
     )
 }
