@@ -47,7 +47,9 @@ def expand(seeds: DataFrame, found: DataFrame, rels: tuple[str, ...], hops: int)
     first arrival, so paths are never enumerated and a hub is entered once per seed.
     """
     both = found.filter(F.col("rel").isin(*rels)).select(F.col("src").alias("node"), F.col("dst").alias("next"))
-    both = both.unionByName(both.select(F.col("next").alias("node"), F.col("node").alias("next"))).distinct()
+    # repeats are dropped after each step, where they are few: a small frontier is then broadcast
+    # to the edges, which are scanned but not shuffled
+    both = both.unionByName(both.select(F.col("next").alias("node"), F.col("node").alias("next")))
     frontier = seen = stage(seeds.select("seed", "node", F.lit(0).alias("hops")).distinct(), "frontier")
     for n in range(1, hops + 1):
         step = frontier.join(both, "node").select("seed", F.col("next").alias("node")).distinct()
