@@ -56,12 +56,12 @@ def formatting_copies(df: DataFrame, row_id: str, scope: str, payload: str, fiel
     equal = F.lit(True)
     for s in same:
         equal = equal & (F.col(s) == F.col(f"_first.{s}"))
-    good = compared.filter(equal).select(F.col("_first.copy_id").alias("keep_id"), "copy_id")
-    # rows whose fingerprint collides: a few in 2^60, grouped by the fields themselves
-    odd = compared.filter(~equal).select("copy_id", "_scope", *same)
+    # written once; the fields go along only where the fingerprints collide, a few rows in 2^60
+    checked = stage(compared.select("copy_id", F.when(equal, F.col("_first.copy_id")).alias("keep_id"), *(F.when(~equal, F.col(s)).alias(s) for s in ("_scope", *same))), "compared")
+    odd = checked.filter(F.col("keep_id").isNull()).drop("keep_id")
     odd_first = odd.groupBy("_scope", *same).agg(F.min("copy_id").alias("keep_id"))
     rest = odd.join(odd_first, ["_scope", *same]).select("keep_id", "copy_id")
-    return good.unionByName(rest).distinct()
+    return checked.filter(F.col("keep_id").isNotNull()).select("keep_id", "copy_id").unionByName(rest).distinct()
 
 
 def copy_counts(pairs: DataFrame) -> DataFrame:
