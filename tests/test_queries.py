@@ -36,4 +36,5 @@ def test_query(spark, root, duck, name):
 
 
 def test_entry(spark, root):
-    assert entry.entry(spark).columns == ["step_id", "fact_id", "rank", "score", "hops", "lexical"]
+    df = entry.entry(spark)
+    assert df.columns == ["step_id", "fact_id", "rank", "score", "hops", "lexical"] and df.count() > 0

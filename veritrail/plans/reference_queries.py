@@ -159,10 +159,15 @@ def neighbourhood(spark, root):
     return found.join(seeds, "src", "left_semi").select("rel", "src", "dst")
 
 
-def warrant_rank(spark, root):
+def ranked_evidence(spark, root, questions):
+    """Evidence for the given steps of the walkthrough."""
     facts, turns = _facts(spark, root), _turns(spark, root)
     single = table(spark, root, "predicates").filter(F.col("arity") == "single")
-    return evidence.evidence(_questions(spark, root), facts, turns, stage(_edges(spark, root), "edges"), corroboration_degree(spark, root), single)
+    return evidence.evidence(questions, facts, turns, stage(_edges(spark, root), "edges"), corroboration_degree(spark, root), single)
+
+
+def warrant_rank(spark, root):
+    return ranked_evidence(spark, root, _questions(spark, root))
 
 
 def orphans(spark, root):
