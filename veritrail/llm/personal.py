@@ -5,9 +5,9 @@ given names with corpus statistics of what follows them, and context words) vote
 expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is;
 its soft labels train the final span classifier, which decides.
 
-Vote patterns and corpus statistics cover all texts (both have a fixed size: at most
-3^labelers patterns and ``BUCKETS`` counters); the classifier is fitted on at most ``TRAIN_TEXTS``
-texts, chosen by hash.
+Vote patterns (at most 3^labelers) and corpus statistics cover all texts. Tokens are counted one by
+one, and the counts of those that stand beside a given name or initial are kept, however many they
+are. The classifier is fitted on at most ``TRAIN_TEXTS`` texts, chosen by hash.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from veritrail.operators.shared import stage
 
 #: Bound of the sample on which the classifier is fitted.
 TRAIN_TEXTS = 40_000
-BUCKETS = 1 << 17
 FEATURES = 1 << 16
 
 #: Given names of several languages. A parameter; any list will do.
@@ -47,6 +46,7 @@ _SURNAME = re.compile(rf"[ ](?P<s>{_PARTICLE}(?P<last>{_TOKEN}))(?![\w@+])")
 _GIVEN = re.compile(r"(?<![\w.@+'’\-])(?:" + "|".join(sorted(map(re.escape, GIVEN_NAMES), key=len, reverse=True)) + r")(?![\w@+]|[.\-_](?=\w)|\s*\(?\[?at[\])]\s*\w)", re.I)
 _INITIAL = re.compile(rf"(?<![\w./])(?P<i>[^\W\d_]\.(?:[ ]?[^\W\d_]\.)?)[ ](?P<s>{_PARTICLE}(?P<last>{_TOKEN}))(?![\w@+])")
 _BEFORE = re.compile(rf"(?P<s>(?<![\w.@'’\-]){_PARTICLE}(?P<last>{_TOKEN})),[ ]$")
+_NEXT = re.compile(rf"[ ]({_TOKEN})")
 _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 
 _LOCAL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*"
@@ -100,38 +100,90 @@ _VERBAL = frozenset(
 KINDS = ("email", "phone", "id_number", "address", "person")
 
 
-def bucket(token: str) -> int:
-    return xxhash.xxh64_intdigest(token.lower().encode(), seed=42) % BUCKETS
+def _print(token: str, salt: str) -> int:
+    """Spark's xxhash64 of ``salt`` and ``token``."""
+    said = xxhash.xxh64_intdigest((salt + token).encode(), seed=42)
+    return said - (1 << 64) if said >> 63 else said
 
 
 class Lexicon:
-    """How often a token comes, follows a given name or initial, and looks like an ordinary word."""
+    """How often a token comes, follows a given name or initial, and looks like an ordinary word.
 
-    def __init__(self, table: np.ndarray):
-        self.table = table
+    ``prints``: ascending, one for each token that may be asked; ``table``: its three counts.
+    """
+
+    def __init__(self, prints: np.ndarray, table: np.ndarray, salt: str = ""):
+        self.prints, self.table, self.salt = prints, table, salt
+
+    def counts(self, token: str) -> np.ndarray:
+        wanted = _print(token.lower(), self.salt)
+        at = int(np.searchsorted(self.prints, np.int64(wanted)))
+        return self.table[at] if at < len(self.prints) and self.prints[at] == wanted else np.zeros(3, dtype=np.float32)
 
     def anchored(self, token: str) -> float:
-        total, after, _ = self.table[bucket(token)]
+        total, after, _ = self.counts(token)
         return (after + 0.6) / (total + 1.0)
 
     def ordinary(self, token: str) -> float:
         """Share of its occurrences written small or before a word that makes it a verb or noun."""
-        total, _, plain = self.table[bucket(token)]
+        total, _, plain = self.counts(token)
         return plain / total if total else 0.0
 
 
+def _following(text: str, at: int) -> str | None:
+    m = _NEXT.match(text, at)
+    return m[1] if m else None
+
+
+def _asked(text: str, names: list[re.Match], initials: list[re.Match]) -> Iterator[str | None]:
+    """The tokens beside names and initials, which ``candidates`` looks up, and the names."""
+    for m in names:
+        yield from (m[0], _following(text, m.end()))
+        if after := _SURNAME.match(text, m.end()):
+            yield from (after["last"], _following(text, after.end("s")))
+        if before := _BEFORE.search(text, max(0, m.start() - 48), m.start()):
+            yield before["last"]
+    for m in initials:
+        yield from (m["last"], _following(text, m.end("s")))
+
+
 def _count_tokens(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        counts: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0])
+        counts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
         for text in pdf["text"]:
-            anchors = {m.end() for m in _GIVEN.finditer(text)} | {m.end("i") for m in _INITIAL.finditer(text)}
+            names, initials = list(_GIVEN.finditer(text)), list(_INITIAL.finditer(text))
+            anchors = {m.end() for m in names} | {m.end("i") for m in initials}
             words = list(_WORD.finditer(text))
             for m, after in zip(words, [*words[1:], None]):
-                row = counts[bucket(m[0])]
+                row = counts[m[0].lower()]
                 row[0] += 1
                 row[1] += m.start() - 1 in anchors and text[m.start() - 1] == " "
                 row[2] += m[0].islower() or (after is not None and after.start() == m.end() + 1 and after[0].lower() in _VERBAL)
-        yield pd.DataFrame([(k, *v) for k, v in counts.items()], columns=["b", "total", "after", "small"])
+            for token in _asked(text, names, initials):
+                if token:
+                    counts[token.lower()][3] = 1
+        yield pd.DataFrame([(k, *v) for k, v in counts.items()], columns=["token", "total", "after", "small", "asked"])
+
+
+def token_counts(full: DataFrame) -> DataFrame:
+    """token, total, after, small: exact counts of every token beside a given name or initial."""
+    counted = full.mapInPandas(_count_tokens, "token string, total long, after long, small long, asked int")
+    summed = counted.groupBy("token").agg(F.sum("total").alias("total"), F.sum("after").alias("after"), F.sum("small").alias("small"), F.max("asked").alias("asked"))
+    return summed.filter("asked = 1").drop("asked")
+
+
+def _lexicon(full: DataFrame) -> Lexicon:
+    counts = stage(token_counts(full), "tokens")
+    salt = ""
+    while True:
+        # 20 bytes a token; the words themselves stay on the executors
+        found = counts.select(F.xxhash64(F.concat(F.lit(salt), "token")).alias("p"), *(F.col(c).cast("float") for c in ("total", "after", "small"))).toArrow()
+        prints = found["p"].to_numpy()
+        order = np.argsort(prints)
+        prints = prints[order]
+        if (prints[1:] != prints[:-1]).all():
+            return Lexicon(prints, np.stack([found[c].to_numpy() for c in ("total", "after", "small")], axis=1)[order], salt)
+        salt += "~"  # two tokens with one print: all are taken anew
 
 
 def _sided(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
@@ -234,26 +286,22 @@ def candidates(text: str, lexicon: Lexicon) -> list[tuple[int, int, str, str, li
             features += [f"g={low[i : i + 3]}" for i in range(len(low) - 2)]
         add(a, b, "person", votes, features, form, form in ("g", "is"))
 
-    def following(at: int) -> str | None:
-        m = re.compile(rf"[ ]({_TOKEN})").match(text, at)
-        return m[1] if m else None
-
     for a, b in hits:
         given = text[a:b]
         m = _SURNAME.match(text, b)
-        person(a, b, "g", given, None, following(b))
+        person(a, b, "g", given, None, _following(text, b))
         if m:
-            person(a, m.end("s"), "gs", given, m["last"], following(m.end("s")))
+            person(a, m.end("s"), "gs", given, m["last"], _following(text, m.end("s")))
         before = _BEFORE.search(text, max(0, a - 48), a)
         own = m and lexicon.anchored(m["last"]) > 0.5 and _case(m["last"]) == _case(given)
         lead = text[max(0, before.start("s") - 3) : before.start("s")] if before else ""
         if before and not own and not re.search(r"[^\W\d_]\. $", lead) and before.start("s") - 1 not in ends and not any(x <= before.start("last") < y for x, y in hits):
-            person(before.start("s"), b, "sg", given, before["last"], following(b))
+            person(before.start("s"), b, "sg", given, before["last"], _following(text, b))
             if before.start("s") != before.start("last"):
-                person(before.start("last"), b, "sg", given, before["last"], following(b))
+                person(before.start("last"), b, "sg", given, before["last"], _following(text, b))
     for m in _INITIAL.finditer(text):
         if not any(x < m.end() and m.start() < y for x, y in blocked):
-            person(m.start(), m.end("s"), "is", None, m["last"], following(m.end("s")))
+            person(m.start(), m.end("s"), "is", None, m["last"], _following(text, m.end("s")))
     return out
 
 
@@ -263,7 +311,7 @@ def _hashed(features: list[str]) -> list[int]:
 
 def _propose(held):
     def propose(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(held.value)
+        lexicon = Lexicon(*held.value)
         for pdf in batches:
             rows = []
             for src, rec, text in zip(pdf["src"], pdf["rec_id"], pdf["text"]):
@@ -342,11 +390,8 @@ def personal_spans(texts: DataFrame, train_texts: int = TRAIN_TEXTS) -> DataFram
     """
     spark = texts.sparkSession
     full = texts.filter((F.length("text") > 0) & F.col("rec_id").isNotNull()).select("src", "rec_id", "text")
-    counted = full.mapInPandas(_count_tokens, "b int, total long, after long, small long").groupBy("b").agg(F.sum("total"), F.sum("after"), F.sum("small"))
-    table = np.zeros((BUCKETS, 3), dtype=np.float32)
-    for row in counted.toLocalIterator():  # at most BUCKETS rows
-        table[row[0]] = row[1:]
-    spans = stage(full.mapInPandas(_propose(spark.sparkContext.broadcast(table)), _SPANS), "spans")
+    lexicon = _lexicon(full)
+    spans = stage(full.mapInPandas(_propose(spark.sparkContext.broadcast((lexicon.prints, lexicon.table, lexicon.salt))), _SPANS), "spans")
     patterns = {r[0]: r[1] for r in spans.select(F.explode("votes").alias("v")).groupBy("v").count().collect()}  # at most 3^labelers a kind
     belief = reliabilities(patterns)
     sample = spans.select("votes", "features", F.xxhash64("src", "rec_id").alias("h")).orderBy("h").limit(train_texts)
