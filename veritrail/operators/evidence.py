@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from veritrail.functions.text import content_words, entity_key, predicate_key, stem
-from veritrail.operators.graph import entity_node, expand, fact_node
+from veritrail.operators.graph import ANCHOR_RELS, RETRIEVAL_RELS, entity_node, expand, fact_node
 from veritrail.operators.lexical import search
 from veritrail.operators.shared import stage
 
@@ -34,12 +34,13 @@ def quotable(found: DataFrame, questions: DataFrame, facts: DataFrame, floor: fl
     return joined.filter(F.size(F.array_intersect("wanted", "held")) / F.size("wanted") >= coverage).select("step_id", "fact_id")
 
 
-def evidence(questions: DataFrame, facts: DataFrame, turns: DataFrame, edges: DataFrame, corroboration: DataFrame, single: DataFrame, k: int = 64, floor: float = 0.05) -> DataFrame:
+def evidence(questions: DataFrame, facts: DataFrame, turns: DataFrame, edges: DataFrame, corroboration: DataFrame, single: DataFrame, k: int = 64, floor: float = 0.05, named: DataFrame | None = None, again: DataFrame | None = None) -> DataFrame:
     """Ranked evidence per question: step_id, fact_id, rank, score, hops, lexical.
 
     ``questions``: step_id, corpus, question, subj, as_of_epoch (null: now). ``single``: pred, the
-    single-valued slots. Seeds are the entity of ``subj`` (three steps over mentions and turns),
-    the 24 best facts by BM25, and four steps around the two best of these. A candidate of a
+    single-valued slots. Seeds are the entity of ``subj`` and those of ``named`` (seed, node), three
+    steps over what ``edges`` has of mentions, turns and supersessions and over ``again``
+    (``graph.restated``), the 24 best facts by BM25, and four steps around the two best of these. A candidate of a
     single-valued slot becomes the fact of its slot that held at the asked time; retracted and
     quarantined facts and those below tool rank are left out. Only facts of the question's corpus
     are candidates. A question without any has no row.
@@ -50,10 +51,12 @@ def evidence(questions: DataFrame, facts: DataFrame, turns: DataFrame, edges: Da
     own = asked.select("step_id", F.col("corpus").alias("own"))
     as_fact = lambda df: df.filter(F.col("node").startswith("fact:")).select(F.col("seed").alias("step_id"), F.substring("node", 6, 40).cast("long").alias("fact_id"), "hops")
     seeds = asked.filter(F.col("subj").isNotNull()).select(F.col("step_id").alias("seed"), entity_node("corpus", "subj").alias("node"))
-    by_entity = as_fact(expand(seeds, edges, ("MENTIONS", "DERIVED_FROM"), 3)).select("step_id", "fact_id", "hops", F.when(F.col("hops") <= 1, 1.0).otherwise(0.5).alias("anchor"), F.lit(0.0).alias("lexical"), F.lit(0.0).alias("neighbour"))
+    if named is not None:
+        seeds = seeds.unionByName(named)
+    by_entity = as_fact(expand(seeds, edges, RETRIEVAL_RELS, 3, again)).select("step_id", "fact_id", "hops", F.when(F.col("hops") <= 1, 1.0).otherwise(0.5).alias("anchor"), F.lit(0.0).alias("lexical"), F.lit(0.0).alias("neighbour"))
     by_text = hits.select("step_id", "fact_id", F.lit(1).alias("hops"), F.lit(0.0).alias("anchor"), F.col("score").alias("lexical"), F.lit(0.0).alias("neighbour"))
     strong = hits.filter((F.col("rank") <= 2) & (F.col("score") >= 0.35))
-    near = as_fact(expand(strong.select(F.col("step_id").alias("seed"), fact_node().alias("node")), edges, ("MENTIONS", "DERIVED_FROM", "IN_SESSION"), 4))
+    near = as_fact(expand(strong.select(F.col("step_id").alias("seed"), fact_node().alias("node")), edges, ANCHOR_RELS, 4, again))
     strength = strong.groupBy("step_id").agg(F.max("score").alias("neighbour"))
     before = by_entity.select("step_id", "fact_id").unionByName(by_text.select("step_id", "fact_id")).distinct()
     fresh = near.join(before, ["step_id", "fact_id"], "left_anti").join(strength, "step_id").select("step_id", "fact_id", "hops", "neighbour")

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veritrail.functions.text import entity_key
+from veritrail.operators.reconcile import stated
 from veritrail.operators.shared import stage
 
+#: What a walk for evidence may follow, and one from a fact. CORROBORATES is followed
+#: over the triples of ``restated``, the others over edges.
+RETRIEVAL_RELS = ("MENTIONS", "DERIVED_FROM", "SUPERSEDES")
+ANCHOR_RELS = (*RETRIEVAL_RELS, "IN_SESSION")
+
 _NODE = lambda kind, *parts: F.concat_ws(":", F.lit(kind), *parts)
 
 
@@ -33,6 +39,21 @@ def edges(facts: DataFrame, turns: DataFrame) -> DataFrame:
     )
 
 
+def superseding(claims: DataFrame) -> DataFrame:
+    """The SUPERSEDES edges of ``reconcile.claim_edges`` as edges of the graph."""
+    return claims.filter(F.col("rel") == "SUPERSEDES").select("rel", fact_node("src").alias("src"), fact_node("dst").alias("dst"))
+
+
+def restated(facts: DataFrame) -> DataFrame:
+    """node, triple, sid of the facts whose triple is stated in several sessions.
+
+    Two of them corroborate each other if their sessions differ; such pairs are never written out.
+    """
+    rows = stage(stated(facts), "stated")
+    several = rows.groupBy("triple").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).filter(F.col("first") < F.col("last"))
+    return rows.join(several, "triple", "left_semi").select(fact_node().alias("node"), "triple", "sid")
+
+
 def guarded(found: DataFrame, vertices: DataFrame) -> DataFrame:
     """Edges without loops and repeats whose two ends exist in ``vertices`` (node)."""
     ends = vertices.select("node").distinct()
@@ -40,11 +61,12 @@ def guarded(found: DataFrame, vertices: DataFrame) -> DataFrame:
     return whole.join(ends.select(F.col("node").alias("src")), "src", "left_semi").join(ends.select(F.col("node").alias("dst")), "dst", "left_semi").select("rel", "src", "dst")
 
 
-def expand(seeds: DataFrame, found: DataFrame, rels: tuple[str, ...], hops: int) -> DataFrame:
+def expand(seeds: DataFrame, found: DataFrame, rels: tuple[str, ...], hops: int, again: DataFrame | None = None) -> DataFrame:
     """Nodes within ``hops`` undirected steps of a seed: seed, node, hops (the fewest).
 
     ``seeds``: seed, node (hops 0). Every step joins only the newest frontier and keeps a node's
-    first arrival, so paths are never enumerated and a hub is entered once per seed.
+    first arrival, so paths are never enumerated and a hub is entered once per seed. With ``again``
+    (see ``restated``) a step also leads to the facts that corroborate one of the frontier.
     """
     both = found.filter(F.col("rel").isin(*rels)).select(F.col("src").alias("node"), F.col("dst").alias("next"))
     # repeats are dropped after each step, where they are few: a small frontier is then broadcast
@@ -52,7 +74,12 @@ def expand(seeds: DataFrame, found: DataFrame, rels: tuple[str, ...], hops: int)
     both = both.unionByName(both.select(F.col("next").alias("node"), F.col("node").alias("next")))
     frontier = seen = stage(seeds.select("seed", "node", F.lit(0).alias("hops")).distinct(), "frontier")
     for n in range(1, hops + 1):
-        step = frontier.join(both, "node").select("seed", F.col("next").alias("node")).distinct()
+        step = frontier.join(both, "node").select("seed", F.col("next").alias("node"))
+        if again is not None:
+            here = frontier.join(again, "node").groupBy("seed", "triple").agg(F.min("sid").alias("first"), F.max("sid").alias("last"))
+            told = here.join(again, "triple").filter((F.col("first") != F.col("last")) | (F.col("sid") != F.col("first")))
+            step = step.unionByName(told.select("seed", "node"))
+        step = step.distinct()
         # each frontier is written once, or every step would run all steps before it again
         frontier = stage(step.join(seen, ["seed", "node"], "left_anti").select("seed", "node", F.lit(n).alias("hops")), "frontier")
         seen = seen.unionByName(frontier)

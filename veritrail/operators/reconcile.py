@@ -76,13 +76,17 @@ def validity(judged: DataFrame) -> DataFrame:
     return judged.filter("accepted").join(closed, "fact_id", "left").select(*SLOT, "object", "fact_id", "vfrom", vto.alias("vto"))
 
 
+def stated(facts: DataFrame) -> DataFrame:
+    """fact_id, sid and the triple of every fact, normalised."""
+    return facts.dropDuplicates(["fact_id"]).select("fact_id", F.coalesce("sid", F.lit("")).alias("sid"), F.concat_ws("|", "corpus", entity_key("subj"), predicate_key("pred"), entity_key("obj")).alias("triple"))
+
+
 def corroboration(facts: DataFrame) -> DataFrame:
     """fact_id and the number of facts that state the same triple in another session.
 
     Counted from two aggregates, not from pairs, so a triple of any size costs its rows.
     """
-    rows = facts.dropDuplicates(["fact_id"]).select("fact_id", F.coalesce("sid", F.lit("")).alias("sid"), F.concat_ws("|", "corpus", entity_key("subj"), predicate_key("pred"), entity_key("obj")).alias("triple"))
-    rows = stage(rows, "triples")
+    rows = stage(stated(facts), "triples")
     in_session = rows.groupBy("triple", "sid").agg(F.count("*").alias("_here"))
     in_all = in_session.groupBy("triple").agg(F.sum("_here").alias("_all"))
     counts = in_session.join(in_all, "triple").select("triple", "sid", (F.col("_all") - F.col("_here")).alias("degree"), F.col("_here").alias("_n"))

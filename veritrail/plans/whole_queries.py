@@ -1,0 +1,112 @@
+"""The queries that walk the evidence graph, over all its relations, and their SQL.
+
+``reference_queries`` has the same walks over mentions, turns and sessions only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from veritrail.operators import evidence, graph, names
+from veritrail.operators.shared import stage
+from veritrail.plans import reference_queries as ref, reference_sql as sql
+from veritrail.sources.tables import table
+
+
+def _edges(spark: SparkSession, root: str) -> DataFrame:
+    return stage(ref.graph_edges(spark, root).unionByName(graph.superseding(ref.reconcile_edges(spark, root))), "edges")
+
+
+def _again(spark: SparkSession, root: str) -> DataFrame:
+    return stage(graph.restated(table(spark, root, "facts", "fact_id", "corpus", "subj", "pred", "obj", "sid")), "restated")
+
+
+def _named(spark: SparkSession, root: str, questions: DataFrame) -> DataFrame:
+    """The entities that a question names, as seeds."""
+    found = names.matched_entities(questions, ref.entity_normalize(spark, root))
+    return found.join(questions.select("step_id", "corpus"), "step_id").select(F.col("step_id").alias("seed"), graph.entity_node("corpus", "norm").alias("node"))
+
+
+def _seeds(spark: SparkSession, root: str) -> DataFrame:
+    asked = ref._questions(spark, root)
+    own = asked.filter(F.col("subj").isNotNull()).select(F.col("step_id").alias("seed"), graph.entity_node("corpus", "subj").alias("node"))
+    return own.unionByName(_named(spark, root, asked))
+
+
+def paths_bounded_whole(spark, root):
+    return graph.expand(_seeds(spark, root), _edges(spark, root), graph.RETRIEVAL_RELS, 3, _again(spark, root))
+
+
+def anchor_expand_whole(spark, root):
+    seeds = table(spark, root, "facts", "fact_id").filter(F.col("fact_id") % 100 == 0).distinct().select(F.col("fact_id").alias("seed"), graph.fact_node().alias("node"))
+    return graph.expand(seeds, _edges(spark, root), graph.ANCHOR_RELS, 4, _again(spark, root))
+
+
+def paths_between_whole(spark, root):
+    """Sessions within three steps of an entity that is asked for."""
+    found = graph.expand(_seeds(spark, root), _edges(spark, root), graph.ANCHOR_RELS, 3, _again(spark, root))
+    return found.filter(F.col("node").startswith("session:"))
+
+
+def ranked_evidence(spark, root, questions):
+    """Evidence for the given steps of the walkthrough."""
+    single = table(spark, root, "predicates").filter(F.col("arity") == "single")
+    return evidence.evidence(questions, ref._facts(spark, root), ref._turns(spark, root), _edges(spark, root), ref.corroboration_degree(spark, root), single, named=_named(spark, root, questions), again=_again(spark, root))
+
+
+def warrant_rank_whole(spark, root):
+    return ranked_evidence(spark, root, ref._questions(spark, root))
+
+
+def extractive_gate_whole(spark, root):
+    return evidence.quotable(warrant_rank_whole(spark, root), ref._questions(spark, root), ref._facts(spark, root))
+
+
+def evidence_lines_whole(spark, root):
+    """Ranked evidence with its source turn, which is quoted only beside the first fact from it."""
+    found = warrant_rank_whole(spark, root).join(ref._facts(spark, root).select("fact_id", "corpus", "sid", "tidx"), "fact_id")
+    first = F.row_number().over(Window.partitionBy("step_id", "corpus", "sid", "tidx").orderBy("rank")) == 1
+    return found.select("step_id", "fact_id", "rank", "sid", "tidx", first.alias("quoted"))
+
+
+QUERIES = {f.__name__: f for f in (paths_bounded_whole, anchor_expand_whole, paths_between_whole, warrant_rank_whole, extractive_gate_whole, evidence_lines_whole)}
+
+
+_CLAIMS = sql._CLAIMS.replace(sql._FACTS + ",", "", 1)
+_PAIRS = """edges_whole AS (
+  SELECT * FROM edges_all UNION SELECT 'SUPERSEDES', 'fact:' || src, 'fact:' || dst FROM edges_ WHERE rel = 'SUPERSEDES'
+  UNION SELECT 'CORROBORATES', 'fact:' || a.fact_id, 'fact:' || b.fact_id FROM triples a JOIN triples b ON a.triple = b.triple AND a.sid <> b.sid)"""
+_NAMED = f"""{sql._NAMES}, {sql._PHRASES},
+named_m AS (SELECT step_id, p.corpus, norm, 1 AS pass FROM phrase p JOIN names n ON n.corpus = p.corpus AND n.norm = p.phrase
+  UNION ALL SELECT step_id, p.corpus, norm, 2 FROM phrase p JOIN names n ON n.corpus = p.corpus AND length(phrase) >= 4 AND starts_with(n.norm, p.phrase)),
+named_b AS (SELECT step_id, corpus, norm, min(pass) AS pass FROM named_m GROUP BY ALL),
+named AS (SELECT * FROM named_b QUALIFY row_number() OVER (PARTITION BY step_id ORDER BY pass, norm) <= 12)"""
+_SEEDS = sql._ENTITY_SEEDS + " UNION SELECT step_id, 'entity:' || corpus || ':' || norm FROM named"
+_RELS = "'MENTIONS', 'DERIVED_FROM', 'SUPERSEDES', 'CORROBORATES'"
+_ALL = _RELS + ", 'IN_SESSION'"
+
+
+def _expand(*args) -> str:
+    return sql._expand(*args).replace("edges_all", "edges_whole")
+
+
+_GRAPH = f"{sql._FACTS}, {sql._TURNS}, {sql._ASKED}, {sql._EDGES}, {sql._CORROBORATION}, {_CLAIMS}, {_PAIRS}"
+_STRONG = "SELECT step_id AS seed, 'fact:' || fact_id AS node FROM strong"
+
+
+def _put(text: str, old: str, new: str) -> str:
+    assert text.count(old) == 1
+    return text.replace(old, new)
+
+
+_WARRANT = _put(sql._WARRANT, sql._expand("near", sql._ENTITY_SEEDS, "'MENTIONS', 'DERIVED_FROM'", 3), f"{_CLAIMS}, {_PAIRS}, {_NAMED}, {_expand('near', _SEEDS, _RELS, 3)}")
+_WARRANT = _put(_WARRANT, sql._expand("walk", _STRONG, "'MENTIONS', 'DERIVED_FROM', 'IN_SESSION'", 4), _expand("walk", _STRONG, _ALL, 4))
+
+ORACLES = {
+    "paths_bounded_whole": f"WITH {_GRAPH}, {_NAMED}, {_expand('near', _SEEDS, _RELS, 3)} SELECT seed, node, hops FROM near",
+    "anchor_expand_whole": f"""WITH {_GRAPH}, {_expand('near', "SELECT fact_id AS seed, 'fact:' || fact_id AS node FROM facts_u WHERE fact_id % 100 = 0", _ALL, 4)} SELECT seed, node, hops FROM near""",
+    "paths_between_whole": f"WITH {_GRAPH}, {_NAMED}, {_expand('near', _SEEDS, _ALL, 3)} SELECT seed, node, hops FROM near WHERE node LIKE 'session:%'",
+    "warrant_rank_whole": _WARRANT,
+    "extractive_gate_whole": _put(sql.ORACLES["extractive_gate"], sql._WARRANT, _WARRANT),
+    "evidence_lines_whole": _put(sql.ORACLES["evidence_lines"], sql._WARRANT, _WARRANT),
+}
