@@ -17,3 +17,12 @@ def test_walk_follows_supersessions_and_other_sessions(spark, rows):
     assert rows(graph.expand(seeds, edges, graph.RETRIEVAL_RELS, 1, again)) == [(1, "fact:1", 0), (1, "fact:3", 1), (4, "fact:4", 0), (4, "fact:6", 1)]
     # facts of one session corroborate each other only through one of another
     assert (1, "fact:2", 2) in rows(graph.expand(seeds, edges, graph.RETRIEVAL_RELS, 2, again))
+
+
+def test_surroundings_hold_both_directions_and_second_steps(spark, rows):
+    edges, again = tables(spark)
+    more = spark.createDataFrame([("MENTIONS", "fact:6", "entity:x"), ("MENTIONS", "fact:5", "entity:x"), ("MENTIONS", "fact:5", "entity:y")], "rel string, src string, dst string")
+    seeds = spark.createDataFrame([("fact:4", "fact:4"), ("fact:3", "fact:3")], "seed string, node string")
+    found = rows(graph.surroundings(seeds, edges.unionByName(more), again))
+    triple = [r[3] for r in found if r[1] == "CORROBORATES"][0]
+    assert found == [("fact:3", "CORROBORATES", f"fact:{i}", triple) for i in (1, 2, 3)] + [("fact:4", "MENTIONS", "fact:6", "entity:x"), ("fact:4", "SUPERSEDES", "fact:6", "fact:4")]

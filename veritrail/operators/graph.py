@@ -84,3 +84,19 @@ def expand(seeds: DataFrame, found: DataFrame, rels: tuple[str, ...], hops: int,
         frontier = stage(step.join(seen, ["seed", "node"], "left_anti").select("seed", "node", F.lit(n).alias("hops")), "frontier")
         seen = seen.unionByName(frontier)
     return seen
+
+
+def surroundings(seeds: DataFrame, found: DataFrame, again: DataFrame, hops: int = 2) -> DataFrame:
+    """Every edge on a path of at most ``hops`` steps from a seed: seed, rel, src, dst.
+
+    An edge is on one if an end lies at most ``hops`` - 1 steps away. Corroboration is told by edges
+    from each fact to a node of its triple, so a triple costs its facts and not their pairs.
+    """
+    walked = found.filter(F.col("rel").isin(*RETRIEVAL_RELS)).select("rel", "src", "dst").distinct()
+    inner = stage(expand(seeds, found, RETRIEVAL_RELS, hops - 1, again).select("seed", "node"), "inner")
+    out = inner.join(walked, inner["node"] == walked["src"]).select("seed", "rel", "src", "dst")
+    into = inner.join(walked, inner["node"] == walked["dst"]).select("seed", "rel", "src", "dst")
+    here = inner.join(again, "node").groupBy("seed", "triple").agg(F.min("sid").alias("first"), F.max("sid").alias("last"))
+    told = here.join(again, "triple").join(inner.withColumn("own", F.lit(True)), ["seed", "node"], "left")
+    told = told.filter(F.col("own") | (F.col("first") != F.col("last")) | (F.col("sid") != F.col("first")))
+    return out.unionByName(into).unionByName(told.select("seed", F.lit("CORROBORATES").alias("rel"), F.col("node").alias("src"), _NODE("triple", "triple").alias("dst"))).distinct()

@@ -48,6 +48,13 @@ def paths_between_whole(spark, root):
     return found.filter(F.col("node").startswith("session:"))
 
 
+def neighbourhood_whole(spark, root):
+    """All edges within two steps of a chosen fact or an entity that is asked for."""
+    facts = table(spark, root, "facts", "fact_id").filter(F.col("fact_id") % 100 == 0).distinct().select(graph.fact_node().alias("node"))
+    seeds = facts.unionByName(_seeds(spark, root).select("node")).distinct().select(F.col("node").alias("seed"), "node")
+    return graph.surroundings(seeds, _edges(spark, root), _again(spark, root))
+
+
 def ranked_evidence(spark, root, questions):
     """Evidence for the given steps of the walkthrough."""
     single = table(spark, root, "predicates").filter(F.col("arity") == "single")
@@ -69,7 +76,7 @@ def evidence_lines_whole(spark, root):
     return found.select("step_id", "fact_id", "rank", "sid", "tidx", first.alias("quoted"))
 
 
-QUERIES = {f.__name__: f for f in (paths_bounded_whole, anchor_expand_whole, paths_between_whole, warrant_rank_whole, extractive_gate_whole, evidence_lines_whole)}
+QUERIES = {f.__name__: f for f in (paths_bounded_whole, anchor_expand_whole, paths_between_whole, neighbourhood_whole, warrant_rank_whole, extractive_gate_whole, evidence_lines_whole)}
 
 
 _CLAIMS = sql._CLAIMS.replace(sql._FACTS + ",", "", 1)
@@ -85,6 +92,8 @@ _SEEDS = sql._ENTITY_SEEDS + " UNION SELECT step_id, 'entity:' || corpus || ':'
 _RELS = "'MENTIONS', 'DERIVED_FROM', 'SUPERSEDES', 'CORROBORATES'"
 _ALL = _RELS + ", 'IN_SESSION'"
 
+_AROUND = f"SELECT node AS seed, node FROM ({_SEEDS}) UNION SELECT 'fact:' || fact_id, 'fact:' || fact_id FROM facts_u WHERE fact_id % 100 = 0"
+
 
 def _expand(*args) -> str:
     return sql._expand(*args).replace("edges_all", "edges_whole")
@@ -106,6 +115,11 @@ ORACLES = {
     "paths_bounded_whole": f"WITH {_GRAPH}, {_NAMED}, {_expand('near', _SEEDS, _RELS, 3)} SELECT seed, node, hops FROM near",
     "anchor_expand_whole": f"""WITH {_GRAPH}, {_expand('near', "SELECT fact_id AS seed, 'fact:' || fact_id AS node FROM facts_u WHERE fact_id % 100 = 0", _ALL, 4)} SELECT seed, node, hops FROM near""",
     "paths_between_whole": f"WITH {_GRAPH}, {_NAMED}, {_expand('near', _SEEDS, _ALL, 3)} SELECT seed, node, hops FROM near WHERE node LIKE 'session:%'",
+    # an edge is on a path of two steps if one of its ends is at most one step away
+    "neighbourhood_whole": f"""WITH {_GRAPH}, {_NAMED}, {_expand('near', _AROUND, _RELS, 1)},
+pairs AS (SELECT seed, rel, src, dst FROM near JOIN edges_whole ON node = src WHERE rel IN ({_RELS}) UNION SELECT seed, rel, src, dst FROM near JOIN edges_whole ON node = dst WHERE rel IN ({_RELS}))
+SELECT * FROM pairs WHERE rel <> 'CORROBORATES'
+UNION SELECT seed, rel, src, 'triple:' || triple FROM pairs JOIN triples ON src = 'fact:' || fact_id WHERE rel = 'CORROBORATES'""",
     "warrant_rank_whole": _WARRANT,
     "extractive_gate_whole": _put(sql.ORACLES["extractive_gate"], sql._WARRANT, _WARRANT),
     "evidence_lines_whole": _put(sql.ORACLES["evidence_lines"], sql._WARRANT, _WARRANT),
