@@ -33,14 +33,30 @@ def test_dressed_copies(spark, rows):
         corpus = rng.choice(["a", "b", None])
         data.append((i, corpus, dress(records[n], rng), "junk", 1))
         want.setdefault((corpus, n), []).append(i)
-    pairs = sorted(((min(v), i) for v in want.values() for i in v), key=str)
+    pairs = sorted(((min(v), i) for v in want.values() for i in v if i != min(v)), key=str)
     df = spark.createDataFrame(data + data[:20], SCHEMA)
     found = formatting_copies(df, "raw_id", "corpus", "payload")
     assert rows(found) == pairs
-    assert sum(r["copies"] for r in copy_counts(found).collect()) == 600
+    assert rows(copy_counts(df, "raw_id", found)) == sorted(((min(v), len(v)) for v in want.values()), key=str)
+    # sets above the bound are spread and give the same
+    assert rows(formatting_copies(df, "raw_id", "corpus", "payload", hot_rows=7)) == pairs
+
+
+def test_nothing_is_sorted(spark):
+    df = spark.createDataFrame([(i, "a", f"text: {i % 3}") for i in range(30)], "raw_id long, corpus string, payload string")
+    plan = formatting_copies(df, "raw_id", "corpus", "payload")._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan
+
+
+def test_colliding_fingerprints_are_told_apart(spark, rows, monkeypatch):
+    from veritrail.llm import formatting_copies as module
+
+    monkeypatch.setattr(module.F, "xxhash64", lambda *_: module.F.lit(16).cast("long"))
+    df = spark.createDataFrame([(i, "a", f"text: {'x' * (i % 3)}y") for i in range(9)], "raw_id long, corpus string, payload string")
+    assert rows(formatting_copies(df, "raw_id", "corpus", "payload")) == sorted(((i % 3, i) for i in range(3, 9)), key=str)
 
 
 def test_null_empty_and_unreadable(spark, rows):
     data = [(1, "a", None, "", 0), (2, "a", "", "", 0), (3, "a", "  ", "", 0), (4, "a", "{broken", "", 0), (5, "a", "Broken!", "", 0), (6, "a", "{}", "", 0), (None, "a", "x", "", 0), (7, "a", "text: " + "w" * 100_000, "", 0)]
-    assert rows(formatting_copies(spark.createDataFrame(data, SCHEMA), "raw_id", "corpus", "payload")) == [(1, 1), (1, 2), (1, 3), (1, 6), (4, 4), (4, 5), (7, 7)]
+    assert rows(formatting_copies(spark.createDataFrame(data, SCHEMA), "raw_id", "corpus", "payload")) == [(1, 2), (1, 3), (1, 6), (4, 5)]
     assert rows(formatting_copies(spark.createDataFrame([], SCHEMA), "raw_id", "corpus", "payload")) == []

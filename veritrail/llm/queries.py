@@ -32,7 +32,7 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_copies(spark: SparkSession, root: str) -> DataFrame:
-    return copy_counts(p4_found(spark, root))
+    return copy_counts(table(spark, root, "raw_facts", "raw_id"), "raw_id", p4_found(spark, root))
 
 
 def p8_packed(spark: SparkSession, root: str) -> DataFrame:
@@ -87,7 +87,7 @@ found AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM runs d JOIN runs
 """
 
 ORACLES = {
-    "p4_found": _COPIES + "SELECT keep_id, copy_id FROM pairs",
+    "p4_found": _COPIES + "SELECT keep_id, copy_id FROM pairs WHERE keep_id <> copy_id",
     "p4_copies": _COPIES + "SELECT keep_id, count(*) AS copies FROM pairs GROUP BY keep_id",
     "p9_found": _LEAKS + "SELECT doc_id, item_id FROM found",
     "p9_items": _LEAKS + "SELECT item_id, count(*) AS documents FROM found GROUP BY item_id",
