@@ -31,14 +31,17 @@ def scorecard(records: DataFrame, by: str) -> DataFrame:
     )
 
 
-#: Fixed value: where one gold answer ends and an alternative begins.
-_ALTERNATIVES = r"\.\s+|;\s*|\s+\bor\b\s+|\s*/\s*|,\s+(?=which|also\b)"
+#: What stands between the alternatives of a gold answer; those of several characters need space.
+SEPARATORS = ("; ", " or ", " / ", "/", ". ", ";", ", which ", ", also ")
 
 
 def alternatives(gold: Column | str) -> Column:
     """The whole gold answer, then each part that could stand as an answer."""
     whole = F.trim(F.coalesce(gold, F.lit("")))
-    parts = F.transform(F.split(whole, _ALTERNATIVES), lambda p: F.regexp_replace(p, r"^[ .]+|[ .]+$", ""))
+    cut = whole
+    for mark in SEPARATORS:
+        cut = F.replace(cut, F.lit(mark), F.lit("\u001f"))
+    parts = F.transform(F.split(cut, "\u001f"), lambda p: F.btrim(p, F.lit(" .")))
     return F.filter(F.array_distinct(F.concat(F.array(whole), parts)), lambda a: a != "")
 
 

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 #: Words that carry no meaning for search.
@@ -16,9 +18,18 @@ should so some such than that the their theirs them then there these they this t
 very was we were what when where which while who whom why will with would you your yours s t
 """.split()
 
-#: Accented letters and what they decompose to.
-ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+
+
+def _base_letters() -> tuple[str, str]:
+    """Small letters of the European alphabets and full-width ones whose compatible form without
+    marks is another single letter, and these; then the marks themselves, which have none."""
+    bare = lambda c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+    signs = [chr(c) for c in (*range(0xA0, 0x2000), *range(0xFF01, 0xFF5F)) if chr(c) == chr(c).lower() and chr(c).isalnum()]
+    pairs = [(c, bare(c)) for c in signs if len(bare(c)) == 1 and bare(c) != c and bare(c).isalnum()]
+    return "".join(c for c, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(p for _, p in pairs)
+
+
+ACCENTED, PLAIN = _base_letters()
 
 
 def let(value: Column, then) -> Column:
@@ -71,8 +82,8 @@ def content_words(text: Column | str) -> Column:
 
 
 def fold(text: Column | str) -> Column:
-    """Lower case, accents of Latin letters removed."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case, compatible forms and marks of letters removed, sharp s as ss."""
+    return F.replace(F.translate(F.lower(text), ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
 
 
 def entity_key(text: Column | str) -> Column:

@@ -34,35 +34,35 @@ def quotable(found: DataFrame, questions: DataFrame, facts: DataFrame, floor: fl
     return joined.filter(F.size(F.array_intersect("wanted", "held")) / F.size("wanted") >= coverage).select("step_id", "fact_id")
 
 
-def evidence(questions: DataFrame, facts: DataFrame, turns: DataFrame, edges: DataFrame, corroboration: DataFrame, single: DataFrame, k: int = 64, floor: float = 0.05, named: DataFrame | None = None, again: DataFrame | None = None) -> DataFrame:
-    """Ranked evidence per question: step_id, fact_id, rank, score, hops, lexical.
+def evidence(questions: DataFrame, facts: DataFrame, turns: DataFrame, edges: DataFrame, corroboration: DataFrame, single: DataFrame, k: int = 64, floor: float = 0.05, named: DataFrame | None = None) -> DataFrame:
+    """Ranked evidence per question: step_id, fact_id, rank, score, hops, lexical, chain.
 
     ``questions``: step_id, corpus, question, subj, as_of_epoch (null: now). ``single``: pred, the
     single-valued slots. Seeds are the entity of ``subj`` and those of ``named`` (seed, node), three
-    steps over what ``edges`` has of mentions, turns and supersessions and over ``again``
-    (``graph.restated``), the 24 best facts by BM25, and four steps around the two best of these. A candidate of a
+    steps over mentions, turns, supersessions and corroborations, the 24 best facts by BM25, and four steps around the two best of these. A candidate of a
     single-valued slot becomes the fact of its slot that held at the asked time; retracted and
     quarantined facts and those below tool rank are left out. Only facts of the question's corpus
-    are candidates. A question without any has no row.
+    are candidates. A question without any has no row. ``chain`` is the way on which a candidate was
+    reached first (fewest hops, then text order), with the step to the fact that took its place.
     """
     known = stage(facts.dropDuplicates(["fact_id"]), "evidence-facts")
     asked = questions.select("step_id", "corpus", "question", "subj", "as_of_epoch")
     hits = stage(search(fact_texts(known, turns), asked, "corpus", "fact_id", "body", "step_id", "question", 24), "hits")
     own = asked.select("step_id", F.col("corpus").alias("own"))
-    as_fact = lambda df: df.filter(F.col("node").startswith("fact:")).select(F.col("seed").alias("step_id"), F.substring("node", 6, 40).cast("long").alias("fact_id"), "hops")
+    as_fact = lambda df: df.filter(F.col("node").startswith("fact:")).select(F.col("seed").alias("step_id"), F.substring("node", 6, 40).cast("long").alias("fact_id"), "hops", "path")
     seeds = asked.filter(F.col("subj").isNotNull()).select(F.col("step_id").alias("seed"), entity_node("corpus", "subj").alias("node"))
     if named is not None:
         seeds = seeds.unionByName(named)
-    by_entity = as_fact(expand(seeds, edges, RETRIEVAL_RELS, 3, again)).select("step_id", "fact_id", "hops", F.when(F.col("hops") <= 1, 1.0).otherwise(0.5).alias("anchor"), F.lit(0.0).alias("lexical"), F.lit(0.0).alias("neighbour"))
-    by_text = hits.select("step_id", "fact_id", F.lit(1).alias("hops"), F.lit(0.0).alias("anchor"), F.col("score").alias("lexical"), F.lit(0.0).alias("neighbour"))
+    by_entity = as_fact(expand(seeds, edges, RETRIEVAL_RELS, 3)).select("step_id", "fact_id", "hops", "path", F.when(F.col("hops") <= 1, 1.0).otherwise(0.5).alias("anchor"), F.lit(0.0).alias("lexical"), F.lit(0.0).alias("neighbour"))
+    by_text = hits.select("step_id", "fact_id", F.lit(1).alias("hops"), F.concat(F.lit("~text "), fact_node()).alias("path"), F.lit(0.0).alias("anchor"), F.col("score").alias("lexical"), F.lit(0.0).alias("neighbour"))
     strong = hits.filter((F.col("rank") <= 2) & (F.col("score") >= 0.35))
-    near = as_fact(expand(strong.select(F.col("step_id").alias("seed"), fact_node().alias("node")), edges, ANCHOR_RELS, 4, again))
+    near = as_fact(expand(strong.select(F.col("step_id").alias("seed"), fact_node().alias("node")), edges, ANCHOR_RELS, 4))
     strength = strong.groupBy("step_id").agg(F.max("score").alias("neighbour"))
     before = by_entity.select("step_id", "fact_id").unionByName(by_text.select("step_id", "fact_id")).distinct()
-    fresh = near.join(before, ["step_id", "fact_id"], "left_anti").join(strength, "step_id").select("step_id", "fact_id", "hops", "neighbour")
-    anchored = near.join(before, ["step_id", "fact_id"], "left_semi").select("step_id", "fact_id", "hops", F.lit(0.0).alias("neighbour"))
-    by_anchor = fresh.unionByName(anchored).select("step_id", "fact_id", "hops", F.when(F.col("hops") <= 1, 1.0).otherwise(0.5).alias("anchor"), F.lit(0.0).alias("lexical"), "neighbour")
-    found = by_entity.unionByName(by_text).unionByName(by_anchor).groupBy("step_id", "fact_id").agg(F.min("hops").alias("hops"), F.max("anchor").alias("anchor"), F.max("lexical").alias("lexical"), F.max("neighbour").alias("neighbour"))
+    fresh = near.join(before, ["step_id", "fact_id"], "left_anti").join(strength, "step_id").select("step_id", "fact_id", "hops", "path", "neighbour")
+    anchored = near.join(before, ["step_id", "fact_id"], "left_semi").select("step_id", "fact_id", "hops", "path", F.lit(0.0).alias("neighbour"))
+    by_anchor = fresh.unionByName(anchored).select("step_id", "fact_id", "hops", "path", F.when(F.col("hops") <= 1, 1.0).otherwise(0.5).alias("anchor"), F.lit(0.0).alias("lexical"), "neighbour")
+    found = by_entity.unionByName(by_text).unionByName(by_anchor).groupBy("step_id", "fact_id").agg(F.min(F.struct("hops", "path")).alias("w"), F.max("anchor").alias("anchor"), F.max("lexical").alias("lexical"), F.max("neighbour").alias("neighbour")).select("step_id", "fact_id", "w.hops", "w.path", "anchor", "lexical", "neighbour")
 
     slot = ["corpus", "slot_subj", "slot_pred"]
     placed = known.select("fact_id", "corpus", entity_key("subj").alias("slot_subj"), predicate_key("pred").alias("slot_pred"), "trank", "status", "vfrom", F.coalesce("vto", F.lit(0)).alias("vto"))
@@ -75,7 +75,8 @@ def evidence(questions: DataFrame, facts: DataFrame, turns: DataFrame, edges: Da
     held = F.when(at.isNull(), F.lit(True)).otherwise((F.col("vfrom") <= at) & ((F.col("vto") == 0) | (at < F.col("vto"))))
     chosen = wanted.join(members, slot).filter(held).groupBy("step_id", *slot).agg(F.max(F.struct("vfrom", "fact_id")).alias("x")).select("step_id", *slot, F.col("x.fact_id").alias("target"))
     resolved = hydrated.join(chosen, ["step_id", *slot], "left").withColumn("target", F.when(F.col("single"), F.col("target")).otherwise(F.col("fact_id"))).filter(F.col("target").isNotNull())
-    folded = resolved.groupBy("step_id", F.col("target").alias("fact_id")).agg(F.min("hops").alias("hops"), F.max("anchor").alias("anchor"), F.max("lexical").alias("lexical"), F.max("neighbour").alias("neighbour"))
+    resolved = resolved.withColumn("path", F.when(F.col("target") == F.col("fact_id"), F.col("path")).otherwise(F.concat(F.col("path"), F.lit(" SUPERSEDES "), fact_node("target"))))
+    folded = resolved.groupBy("step_id", F.col("target").alias("fact_id")).agg(F.min(F.struct("hops", "path")).alias("w"), F.max("anchor").alias("anchor"), F.max("lexical").alias("lexical"), F.max("neighbour").alias("neighbour")).select("step_id", "fact_id", "w.hops", "w.path", "anchor", "lexical", "neighbour")
     good = folded.join(placed.filter(F.col("status").isin("active", "superseded") & (F.col("trank") >= 1)).select("fact_id", "trank", "vfrom"), "fact_id").join(corroboration, "fact_id", "left")
     by_step = Window.partitionBy("step_id")
     dated = good.withColumn("dr", F.dense_rank().over(by_step.orderBy("vfrom"))).withColumn("most", F.max("dr").over(by_step))
@@ -86,4 +87,4 @@ def evidence(questions: DataFrame, facts: DataFrame, turns: DataFrame, edges: Da
     )
     scored = dated.withColumn("score", F.round(score, 6)).filter(F.col("score") >= floor)
     place = F.row_number().over(by_step.orderBy(F.desc("score"), "hops", F.desc("vfrom"), "fact_id"))
-    return scored.withColumn("rank", place).filter(F.col("rank") <= k).select("step_id", "fact_id", "rank", "score", "hops", "lexical")
+    return scored.withColumn("rank", place).filter(F.col("rank") <= k).select("step_id", "fact_id", "rank", "score", "hops", "lexical", F.col("path").alias("chain"))

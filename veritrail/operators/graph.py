@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veritrail.functions.text import entity_key
-from veritrail.operators.reconcile import stated
 from veritrail.operators.shared import stage
 
-#: What a walk for evidence may follow, and one from a fact. CORROBORATES is followed
-#: over the triples of ``restated``, the others over edges.
-RETRIEVAL_RELS = ("MENTIONS", "DERIVED_FROM", "SUPERSEDES")
+#: What a walk for evidence may follow, and one from a fact.
+RETRIEVAL_RELS = ("MENTIONS", "DERIVED_FROM", "SUPERSEDES", "CORROBORATES")
 ANCHOR_RELS = (*RETRIEVAL_RELS, "IN_SESSION")
 
 _NODE = lambda kind, *parts: F.concat_ws(":", F.lit(kind), *parts)
@@ -24,6 +22,10 @@ def entity_node(corpus: Column | str, name: Column | str) -> Column:
     return _NODE("entity", corpus, entity_key(name))
 
 
+def session_node(corpus: Column | str, sid: Column | str) -> Column:
+    return _NODE("session", corpus, sid)
+
+
 def edges(facts: DataFrame, turns: DataFrame) -> DataFrame:
     """MENTIONS (fact to entity), DERIVED_FROM (fact to turn), IN_SESSION (turn to session)."""
     known = facts.dropDuplicates(["fact_id"]).select("fact_id", "corpus", "sid", "tidx", "mentions")
@@ -39,64 +41,87 @@ def edges(facts: DataFrame, turns: DataFrame) -> DataFrame:
     )
 
 
-def superseding(claims: DataFrame) -> DataFrame:
-    """The SUPERSEDES edges of ``reconcile.claim_edges`` as edges of the graph."""
-    return claims.filter(F.col("rel") == "SUPERSEDES").select("rel", fact_node("src").alias("src"), fact_node("dst").alias("dst"))
+def claim_links(claims: DataFrame) -> DataFrame:
+    """The SUPERSEDES and CORROBORATES edges of ``reconcile.claim_edges`` as edges of the graph."""
+    return claims.filter(F.col("rel").isin("SUPERSEDES", "CORROBORATES")).select("rel", fact_node("src").alias("src"), fact_node("dst").alias("dst"))
 
 
-def restated(facts: DataFrame) -> DataFrame:
-    """node, triple, sid of the facts whose triple is stated in several sessions.
+def vertices(facts: DataFrame, turns: DataFrame) -> DataFrame:
+    """node: every fact, entity, turn and session that the tables hold."""
+    said = turns.select("turn_id", "corpus", "sid").distinct()
+    known = facts.select("fact_id", "corpus", "mentions")
+    entities = known.select("corpus", F.explode("mentions").alias("m")).filter(entity_key("m") != "").select(entity_node("corpus", "m").alias("node"))
+    return entities.unionByName(known.select(fact_node().alias("node"))).unionByName(said.select(_NODE("turn", F.col("turn_id").cast("string")).alias("node"))).unionByName(said.select(_NODE("session", "corpus", "sid").alias("node"))).distinct()
 
-    Two of them corroborate each other if their sessions differ; such pairs are never written out.
-    """
-    rows = stage(stated(facts), "stated")
-    several = rows.groupBy("triple").agg(F.min("sid").alias("first"), F.max("sid").alias("last")).filter(F.col("first") < F.col("last"))
-    return rows.join(several, "triple", "left_semi").select(fact_node().alias("node"), "triple", "sid")
 
+def guarded(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges without loops and repeats. An end that ``known`` (node) does not have is an error.
 
-def guarded(found: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Edges without loops and repeats whose two ends exist in ``vertices`` (node)."""
-    ends = vertices.select("node").distinct()
+    The check is part of the plan: an action on the result fails, naming the edge, before anything
+    is written.
+    """
     whole = found.filter(F.col("src") != F.col("dst")).dropDuplicates(["rel", "src", "dst"])
-    return whole.join(ends.select(F.col("node").alias("src")), "src", "left_semi").join(ends.select(F.col("node").alias("dst")), "dst", "left_semi").select("rel", "src", "dst")
+    there = known.select("node").distinct().withColumn("there", F.lit(True))
+    both = whole.join(there.toDF("src", "src_there"), "src", "left").join(there.toDF("dst", "dst_there"), "dst", "left")
+    bad = F.concat(F.lit("edge to an unknown vertex: "), F.col("rel"), F.lit(" "), F.col("src"), F.lit(" -> "), F.col("dst"))
+    checked = F.when(F.col("src_there").isNull() | F.col("dst_there").isNull(), F.raise_error(bad).cast("string")).otherwise(F.col("rel"))
+    return both.select(checked.alias("rel"), "src", "dst")
+
+
+def two_way(found: DataFrame) -> DataFrame:
+    """Every edge from either end: node, rel, next. Written bucket by bucket it serves all walks."""
+    there = found.select(F.col("src").alias("node"), "rel", F.col("dst").alias("next"))
+    return there.unionByName(found.select(F.col("dst").alias("node"), "rel", F.col("src").alias("next")))
 
 
-def expand(seeds: DataFrame, found: DataFrame, rels: tuple[str, ...], hops: int, again: DataFrame | None = None) -> DataFrame:
-    """Nodes within ``hops`` undirected steps of a seed: seed, node, hops (the fewest).
+def expand(seeds: DataFrame, found: DataFrame, rels: tuple[str, ...], hops: int) -> DataFrame:
+    """Nodes within ``hops`` undirected steps of a seed: seed, node, hops (the fewest), path.
 
-    ``seeds``: seed, node (hops 0). Every step joins only the newest frontier and keeps a node's
-    first arrival, so paths are never enumerated and a hub is entered once per seed. With ``again``
-    (see ``restated``) a step also leads to the facts that corroborate one of the frontier.
+    ``seeds``: seed, node (hops 0). ``path`` names the nodes and relations of a shortest way, the
+    least of them in text order. Every step joins only the newest frontier and keeps a node's first
+    arrival, so ways that are no shortest ones are not enumerated and a hub is entered once a seed.
     """
-    both = found.filter(F.col("rel").isin(*rels)).select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    both = two_way(found.filter(F.col("rel").isin(*rels)))
     # repeats are dropped after each step, where they are few: a small frontier is then broadcast
     # to the edges, which are scanned but not shuffled
-    both = both.unionByName(both.select(F.col("next").alias("node"), F.col("node").alias("next")))
-    frontier = seen = stage(seeds.select("seed", "node", F.lit(0).alias("hops")).distinct(), "frontier")
+    frontier = seen = stage(seeds.select("seed", "node", F.lit(0).alias("hops"), F.col("node").alias("path")).distinct(), "frontier")
     for n in range(1, hops + 1):
-        step = frontier.join(both, "node").select("seed", F.col("next").alias("node"))
-        if again is not None:
-            here = frontier.join(again, "node").groupBy("seed", "triple").agg(F.min("sid").alias("first"), F.max("sid").alias("last"))
-            told = here.join(again, "triple").filter((F.col("first") != F.col("last")) | (F.col("sid") != F.col("first")))
-            step = step.unionByName(told.select("seed", "node"))
-        step = step.distinct()
+        step = frontier.join(both, "node").select("seed", F.col("next").alias("node"), F.concat_ws(" ", "path", "rel", "next").alias("path"))
+        fresh = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").groupBy("seed", "node").agg(F.min("path").alias("path"))
         # each frontier is written once, or every step would run all steps before it again
-        frontier = stage(step.join(seen, ["seed", "node"], "left_anti").select("seed", "node", F.lit(n).alias("hops")), "frontier")
+        frontier = stage(fresh.select("seed", "node", F.lit(n).alias("hops"), "path"), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 
 
-def surroundings(seeds: DataFrame, found: DataFrame, again: DataFrame, hops: int = 2) -> DataFrame:
-    """Every edge on a path of at most ``hops`` steps from a seed: seed, rel, src, dst.
+def between(seeds: DataFrame, targets: DataFrame, found: DataFrame, rels: tuple[str, ...], hops: int, count: int) -> DataFrame:
+    """Whole ways from a seed's node to its target: seed, node, hops, path, n, the ``count`` first of each
+    pair by (hops, path). No node comes twice on a way.
+
+    ``seeds`` and ``targets``: seed, node. Only steps that still can reach the target are made: both
+    ends are walked first, and a node is entered at step n only if the target is at most
+    ``hops`` - n steps from it.
+    """
+    near = stage(expand(targets, found, rels, hops - 1).select("seed", F.col("node").alias("next"), F.col("hops").alias("left")), "near")
+    both = two_way(found.filter(F.col("rel").isin(*rels)))
+    goal = targets.select("seed", F.col("node").alias("goal"))
+    way = stage(seeds.join(goal, "seed").select("seed", "goal", "node", F.array("node").alias("nodes"), F.col("node").alias("path")).distinct(), "way")
+    out = None
+    for n in range(1, hops + 1):
+        step = way.filter(F.col("node") != F.col("goal")).join(both, "node").join(near, ["seed", "next"]).filter((F.col("left") <= hops - n) & ~F.array_contains("nodes", F.col("next")))
+        way = stage(step.select("seed", "goal", F.col("next").alias("node"), F.concat("nodes", F.array("next")).alias("nodes"), F.concat_ws(" ", "path", "rel", "next").alias("path")), "way")
+        done = way.filter(F.col("node") == F.col("goal")).select("seed", "node", F.lit(n).alias("hops"), "path")
+        out = done if out is None else out.unionByName(done)
+    place = F.row_number().over(Window.partitionBy("seed", "node").orderBy("hops", "path"))
+    return out.distinct().withColumn("n", place).filter(F.col("n") <= count)
+
+
+def surroundings(seeds: DataFrame, found: DataFrame, hops: int = 2) -> DataFrame:
+    """Every edge on a way of at most ``hops`` steps from a seed: seed, rel, src, dst.
 
-    An edge is on one if an end lies at most ``hops`` - 1 steps away. Corroboration is told by edges
-    from each fact to a node of its triple, so a triple costs its facts and not their pairs.
+    An edge is on one if an end lies at most ``hops`` - 1 steps away.
     """
     walked = found.filter(F.col("rel").isin(*RETRIEVAL_RELS)).select("rel", "src", "dst").distinct()
-    inner = stage(expand(seeds, found, RETRIEVAL_RELS, hops - 1, again).select("seed", "node"), "inner")
+    inner = stage(expand(seeds, found, RETRIEVAL_RELS, hops - 1).select("seed", "node"), "inner")
     out = inner.join(walked, inner["node"] == walked["src"]).select("seed", "rel", "src", "dst")
-    into = inner.join(walked, inner["node"] == walked["dst"]).select("seed", "rel", "src", "dst")
-    here = inner.join(again, "node").groupBy("seed", "triple").agg(F.min("sid").alias("first"), F.max("sid").alias("last"))
-    told = here.join(again, "triple").join(inner.withColumn("own", F.lit(True)), ["seed", "node"], "left")
-    told = told.filter(F.col("own") | (F.col("first") != F.col("last")) | (F.col("sid") != F.col("first")))
-    return out.unionByName(into).unionByName(told.select("seed", F.lit("CORROBORATES").alias("rel"), F.col("node").alias("src"), _NODE("triple", "triple").alias("dst"))).distinct()
+    return out.unionByName(inner.join(walked, inner["node"] == walked["dst"]).select("seed", "rel", "src", "dst")).distinct()

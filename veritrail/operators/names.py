@@ -20,16 +20,17 @@ def entity_names(facts: DataFrame) -> DataFrame:
 def matched_entities(questions: DataFrame, names: DataFrame, cap: int = 12) -> DataFrame:
     """Entities a question names: step_id, norm, pass (1 exact, 2 prefix), at most ``cap`` each.
 
-    The prefix match is an equi-join on the first four letters; shorter phrases match only whole.
+    Exact matches come first, then those of earlier phrases. The prefix match is an equi-join on
+    the first four letters; shorter phrases match only whole.
     """
-    asked = questions.select("step_id", "corpus", F.explode(phrases("question")).alias("phrase"))
+    asked = questions.select("step_id", "corpus", F.posexplode(phrases("question")).alias("place", "phrase"))
     norms = names.select("corpus", "norm")
-    exact = asked.join(norms, (asked["corpus"] == norms["corpus"]) & (asked["phrase"] == norms["norm"])).select("step_id", "norm", F.lit(1).alias("pass"))
+    exact = asked.join(norms, (asked["corpus"] == norms["corpus"]) & (asked["phrase"] == norms["norm"])).select("step_id", "norm", F.lit(1).alias("pass"), "place")
     heads = norms.select(F.col("corpus").alias("c"), "norm", F.substring("norm", 1, 4).alias("head"))
-    longer = asked.filter(F.length("phrase") >= 4).withColumn("head", F.substring("phrase", 1, 4)).join(heads, "head").filter((F.col("corpus") == F.col("c")) & F.col("norm").startswith(F.col("phrase"))).select("step_id", "norm", F.lit(2).alias("pass"))
-    best = exact.unionByName(longer).groupBy("step_id", "norm").agg(F.min("pass").alias("pass"))
-    place = F.row_number().over(Window.partitionBy("step_id").orderBy("pass", "norm"))
-    return best.withColumn("n", place).filter(F.col("n") <= cap).drop("n")
+    longer = asked.filter(F.length("phrase") >= 4).withColumn("head", F.substring("phrase", 1, 4)).join(heads, "head").filter((F.col("corpus") == F.col("c")) & F.col("norm").startswith(F.col("phrase"))).select("step_id", "norm", F.lit(2).alias("pass"), "place")
+    best = exact.unionByName(longer).groupBy("step_id", "norm").agg(F.min(F.struct("pass", "place")).alias("at"))
+    first = F.row_number().over(Window.partitionBy("step_id").orderBy("at", "norm"))
+    return best.withColumn("n", first).filter(F.col("n") <= cap).select("step_id", "norm", "at.pass")
 
 
 def folded_names(names: DataFrame, longest: int = 4) -> DataFrame:

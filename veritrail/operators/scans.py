@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from veritrail.operators.intervals import key_changes
 from veritrail.operators.shared import in_range_order, stage
@@ -62,3 +62,19 @@ def last_before(df: DataFrame, keys: list[str], order: list[str], flag: str, pay
     for i, k in enumerate(keys):
         mine = mine & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return rows.join(carry, "_part", "left").select(*df.columns, F.coalesce("_before", F.when(mine, F.col("_c"))).alias(out))
+
+
+def lasts_before(df: DataFrame, keys: list[str], order: list[str], wanted: dict[str, tuple[str, str]], rows: str, hot_rows: int) -> DataFrame:
+    """Adds a column per entry of ``wanted`` (out: flag, payload), each as ``last_before`` does.
+
+    ``rows`` holds how many rows a key has. Keys of up to ``hot_rows`` go through one window; the
+    others are scanned in range order, so that no key of any size is gathered in one task.
+    """
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    cold = df.filter(F.col(rows) <= hot_rows).withColumns({out: F.last(F.when(F.col(flag), F.col(payload)), ignorenulls=True).over(before) for out, (flag, payload) in wanted.items()})
+    hot = df.filter(F.col(rows) > hot_rows)
+    if not hot.head(1):
+        return cold
+    for out, (flag, payload) in wanted.items():
+        hot = last_before(hot, keys, order, flag, payload, out)
+    return cold.unionByName(hot)

@@ -30,8 +30,8 @@ def _questions(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "walkthrough").filter(F.col("step_id") % 100 == 0)
 
 
-def _judged(spark: SparkSession, root: str) -> DataFrame:
-    return reconcile.judged_claims(_facts(spark, root), table(spark, root, "predicates"))
+def _claims(spark: SparkSession, root: str) -> DataFrame:
+    return stage(reconcile.distinct_claims(_facts(spark, root), table(spark, root, "predicates")), "claims")
 
 
 def postings_build(spark, root):
@@ -98,24 +98,43 @@ def first_seen(spark, root):
     return rows.select("corpus", key, "ingested_at", "rec_id").groupBy("corpus", "ckey").agg(F.min(F.struct("ingested_at", "rec_id")).alias("x")).select("corpus", "ckey", F.col("x.rec_id").alias("rec_id"))
 
 
+def claims_merged(spark, root):
+    rows = reconcile.distinct_claims(_facts(spark, root), table(spark, root, "predicates"))
+    return rows.select(F.col("corpus"), F.col("slot_subj").alias("subj"), F.col("slot_pred").alias("pred"), "object", "fact_id", "trank", "conf", "held_back", "sessions", "single")
+
+
 def reconcile_edges(spark, root):
-    return reconcile.claim_edges(_judged(spark, root))
+    return reconcile.claim_edges(_claims(spark, root))
 
 
 def reconcile_contradict(spark, root):
     return reconcile_edges(spark, root).filter(F.col("rel") == "CONTRADICTS").select(F.col("src").alias("newer"), F.col("dst").alias("standing"))
 
 
+def reconcile_refusals(spark, root):
+    return reconcile.refusals(_facts(spark, root), reconcile_edges(spark, root))
+
+
+def claim_confidence(spark, root):
+    claims = _claims(spark, root)
+    return reconcile.confidence(claims, reconcile.claim_edges(claims))
+
+
+def _valid(spark, root):
+    claims = _claims(spark, root)
+    return reconcile.validity(claims, reconcile.claim_edges(claims))
+
+
 def validity_intervals(spark, root):
-    return reconcile.validity(_judged(spark, root)).select("fact_id", "vfrom", "vto")
+    return _valid(spark, root).select("fact_id", "vfrom", "vto")
 
 
 def current_facts(spark, root):
-    return reconcile.validity(_judged(spark, root)).filter(F.col("vto") == 0).select("corpus", F.col("slot_subj").alias("subj"), F.col("slot_pred").alias("pred"), "fact_id")
+    return _valid(spark, root).filter(F.col("vto") == 0).select("corpus", F.col("slot_subj").alias("subj"), F.col("slot_pred").alias("pred"), "fact_id")
 
 
 def lineage_depth(spark, root):
-    return reconcile.lineage_depth(stage(reconcile_edges(spark, root), "edges"))
+    return reconcile.lineage(stage(reconcile_edges(spark, root), "edges"))
 
 
 def facts_as_of(spark, root):
@@ -124,7 +143,7 @@ def facts_as_of(spark, root):
 
 
 def corroboration_degree(spark, root):
-    return reconcile.corroboration(table(spark, root, "facts", "fact_id", "corpus", "subj", "pred", "obj", "sid"))
+    return reconcile.corroboration(reconcile_edges(spark, root))
 
 
 def entity_exact_prefix(spark, root):
@@ -135,35 +154,61 @@ def alias_fold(spark, root):
     return names.folded_names(entity_normalize(spark, root))
 
 
-def _edges(spark, root):
+def _told(spark, root):
+    """Mentions, source turns and sessions."""
     return graph.edges(table(spark, root, "facts", "fact_id", "corpus", "sid", "tidx", "mentions"), table(spark, root, "turns", "turn_id", "corpus", "sid", "idx"))
 
 
+def _edges(spark, root):
+    return stage(_told(spark, root).unionByName(graph.claim_links(reconcile_edges(spark, root))), "edges")
+
+
 def graph_edges(spark, root):
-    return _edges(spark, root)
+    known = graph.vertices(table(spark, root, "facts", "fact_id", "corpus", "mentions"), table(spark, root, "turns", "turn_id", "corpus", "sid"))
+    return graph.guarded(_edges(spark, root), known)
+
+
+def _named(spark, root, questions):
+    """The entities that a question names, as seeds."""
+    found = names.matched_entities(questions, entity_normalize(spark, root))
+    return found.join(questions.select("step_id", "corpus"), "step_id").select(F.col("step_id").alias("seed"), graph.entity_node("corpus", "norm").alias("node"))
+
+
+def _seeds(spark, root):
+    asked = _questions(spark, root)
+    own = asked.filter(F.col("subj").isNotNull()).select(F.col("step_id").alias("seed"), graph.entity_node("corpus", "subj").alias("node"))
+    return own.unionByName(_named(spark, root, asked)).distinct()
 
 
 def paths_bounded(spark, root):
-    seeds = _questions(spark, root).filter(F.col("subj").isNotNull()).select(F.col("step_id").alias("seed"), graph.entity_node("corpus", "subj").alias("node"))
-    return graph.expand(seeds, stage(_edges(spark, root), "edges"), ("MENTIONS", "DERIVED_FROM"), 3)
+    return graph.expand(_seeds(spark, root), _edges(spark, root), graph.RETRIEVAL_RELS, 3)
 
 
 def anchor_expand(spark, root):
     seeds = table(spark, root, "facts", "fact_id").filter(F.col("fact_id") % 100 == 0).distinct().select(F.col("fact_id").alias("seed"), graph.fact_node().alias("node"))
-    return graph.expand(seeds, stage(_edges(spark, root), "edges"), ("MENTIONS", "DERIVED_FROM", "IN_SESSION"), 4)
+    return graph.expand(seeds, _edges(spark, root), graph.ANCHOR_RELS, 4)
+
+
+def paths_between(spark, root):
+    """The ways from an asked entity to the sessions that an answer must cite."""
+    asked = _questions(spark, root)
+    targets = asked.select(F.col("step_id").alias("seed"), "corpus", F.explode("must_cite_sessions").alias("sid")).select("seed", graph.session_node("corpus", "sid").alias("node")).distinct()
+    return graph.between(_seeds(spark, root), targets, _edges(spark, root), graph.ANCHOR_RELS, 4, 50)
 
 
 def neighbourhood(spark, root):
-    found = stage(_edges(spark, root), "edges")
-    seeds = table(spark, root, "facts", "fact_id").filter(F.col("fact_id") % 100 == 0).distinct().select(graph.fact_node().alias("src"))
-    return found.join(seeds, "src", "left_semi").select("rel", "src", "dst")
+    """All edges within two steps of a chosen fact or an entity that is asked for."""
+    facts = table(spark, root, "facts", "fact_id").filter(F.col("fact_id") % 100 == 0).distinct().select(graph.fact_node().alias("node"))
+    seeds = facts.unionByName(_seeds(spark, root).select("node")).distinct().select(F.col("node").alias("seed"), "node")
+    return graph.surroundings(seeds, _edges(spark, root))
 
 
 def ranked_evidence(spark, root, questions):
     """Evidence for the given steps of the walkthrough."""
-    facts, turns = _facts(spark, root), _turns(spark, root)
     single = table(spark, root, "predicates").filter(F.col("arity") == "single")
-    return evidence.evidence(questions, facts, turns, stage(_edges(spark, root), "edges"), corroboration_degree(spark, root), single)
+    links = stage(reconcile_edges(spark, root), "links")
+    edges = stage(_told(spark, root).unionByName(graph.claim_links(links)), "edges")
+    return evidence.evidence(questions, _facts(spark, root), _turns(spark, root), edges, reconcile.corroboration(links), single, named=_named(spark, root, questions))
 
 
 def warrant_rank(spark, root):
@@ -217,18 +262,26 @@ def policy_rules(spark, root):
 
 
 def admission_decisions(spark, root):
-    rule = screening.admission(F.col("text"), F.col("obj"), F.col("trank"), F.col("subj"), F.col("pred"), F.lit(None).cast("int"), F.lit("assert"))
-    return _facts(spark, root).select("fact_id", F.coalesce(rule, F.lit("admitted")).alias("rule"))
+    """Every fact as a write: one that met standing claims acts on the one of highest rank."""
+    facts = _facts(spark, root)
+    ranks = facts.select(F.col("fact_id").alias("dst"), F.col("trank").alias("target"))
+    met = reconcile_edges(spark, root).filter(F.col("rel") != "CORROBORATES").join(ranks, "dst").groupBy(F.col("src").alias("fact_id")).agg(F.max("target").alias("target"))
+    op = F.when(F.col("target").isNull(), "assert").otherwise("supersede")
+    decided = screening.admission(F.col("text"), F.col("obj"), F.col("trank"), F.col("subj"), F.col("pred"), F.col("target"), op)
+    return facts.join(met, "fact_id", "left").select("fact_id", decided.alias("d")).select("fact_id", "d.*")
 
 
 def condemned_facts(spark, root):
-    """Facts whose turn trips a content rule, whatever their own text says."""
-    bad = _turns(spark, root).select("corpus", "sid", F.col("idx").alias("tidx"), screening.screened(F.col("text"), F.col("trank")).alias("rule")).filter(F.col("rule").isNotNull()).groupBy("corpus", "sid", "tidx").agg(F.min("rule").alias("rule"))
-    return _facts(spark, root).join(bad, ["corpus", "sid", "tidx"]).select("fact_id", "rule")
+    """Facts whose turn trips a content rule, whatever their own text says; the first rule counts."""
+    placed = _turns(spark, root).select("corpus", "sid", F.col("idx").alias("tidx"), screening.screened(F.col("text"), F.col("trank")).alias("rule")).filter(F.col("rule").isNotNull())
+    bad = placed.groupBy("corpus", "sid", "tidx").agg(F.min(F.struct(screening.rule_position(F.col("rule")), "rule")).alias("x"))
+    return _facts(spark, root).join(bad, ["corpus", "sid", "tidx"]).select("fact_id", "x.rule")
 
 
 def identity_claims(spark, root):
-    return _facts(spark, root).filter((F.col("trank") <= 1) & screening.states_identity(F.col("pred"))).select("fact_id", "pred")
+    """Facts of low rank that state identity, and whether they speak of the principal."""
+    forged = screening.forges_identity(F.col("trank"), F.col("subj"), F.col("pred"))
+    return _facts(spark, root).filter((F.coalesce("trank", F.lit(0)) <= 1) & screening.states_identity(F.col("pred"))).select("fact_id", "pred", F.coalesce(forged, F.lit(False)).alias("forged"))
 
 
 def tier_floor_matrix(spark, root):
@@ -300,7 +353,7 @@ def citation_changes(spark, root):
 
 def upsert_facts(spark, root):
     old = _facts(spark, root).select("fact_id", "status", "vfrom")
-    new = validity_intervals(spark, root).select("fact_id", F.lit("accepted").alias("status"), "vfrom")
+    new = _valid(spark, root).select("fact_id", F.lit("accepted").alias("status"), "vfrom")
     return audit.upserted(old, new, "fact_id")
 
 
@@ -315,7 +368,7 @@ def extractive_gate(spark, root):
 
 
 def rules_extract(spark, root):
-    return claims.extracted_claims(texts(spark, root, "turns", "turn_id", "text", "trank"), _slots(spark, root)[0])
+    return claims.extracted_claims(texts(spark, root, "turns", "turn_id", "text", "trank", "ts"), _slots(spark, root)[0])
 
 
 def predicate_normalize(spark, root):
@@ -349,17 +402,11 @@ def evidence_lines(spark, root):
     return found.select("step_id", "fact_id", "rank", "sid", "tidx", first.alias("quoted"))
 
 
-def paths_between(spark, root):
-    """Sessions within three steps of an asked entity."""
-    seeds = _questions(spark, root).filter(F.col("subj").isNotNull()).select(F.col("step_id").alias("seed"), graph.entity_node("corpus", "subj").alias("node"))
-    return graph.expand(seeds, stage(_edges(spark, root), "edges"), ("MENTIONS", "DERIVED_FROM", "IN_SESSION"), 3).filter(F.col("node").startswith("session:"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         postings_build, tokenize_stem, bm25_topk, turns_tiered, turn_windows, rag_chunks, token_budget, session_turn_counts, timeline_counts, source_stats,
-        entity_normalize, canonical_keys, stable_ids, fact_dedupe_merge, first_seen, reconcile_edges, reconcile_contradict, validity_intervals, current_facts,
+        entity_normalize, canonical_keys, stable_ids, fact_dedupe_merge, first_seen, claims_merged, reconcile_edges, reconcile_contradict, reconcile_refusals, claim_confidence, validity_intervals, current_facts,
         lineage_depth, facts_as_of, corroboration_degree, entity_exact_prefix, alias_fold, graph_edges, paths_bounded, anchor_expand, neighbourhood, warrant_rank,
         orphans, dangling_edges, leaked_citations, integrity_report, history_topn, rejections_topn, explain_fact, policy_screen, policy_rules, admission_decisions,
         condemned_facts, identity_claims, tier_floor_matrix, citation_membership, gate_checks, qa_scorecard, poison_scorecard, dataset_stats, fallback_judge,

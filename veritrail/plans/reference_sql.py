@@ -10,7 +10,7 @@ _NOT_STOP = f"list_filter(regexp_extract_all(lower(%s), '[\\p{{L}}\\p{{N}}]+'),
 
 
 def _fold(x: str) -> str:
-    return f"translate(lower({x}), '{ACCENTED}', '{PLAIN}')"
+    return f"replace(translate(lower({x}), '{ACCENTED}', '{PLAIN}'), 'ß', 'ss')"
 
 
 def _ek(x: str) -> str:
@@ -78,25 +78,45 @@ SELECT corpus, sid, win AS "window", CAST(min(idx) AS BIGINT) AS first_idx, coun
 FROM placed GROUP BY corpus, sid, win HAVING count(*) FILTER (WHERE win = 0 OR idx >= win * {step} + {overlap}) > 0"""
 
 
-_CLAIMS = f"""
+_MERGED = f"""
 {_FACTS},
 rows_ AS (
-  SELECT fact_id, corpus, {_ek('subj')} AS slot_subj, {_pk('pred')} AS slot_pred, {_ek('obj')} AS object, trank, status = 'quarantined' AS held_back, vfrom, coalesce(sidx, 0) AS sidx, coalesce(tidx, 0) AS tidx
-  FROM facts_u WHERE status <> 'retracted'),
-singled AS (SELECT rows_.* FROM rows_ JOIN predicates ON pred = slot_pred AND arity = 'single'),
+  SELECT fact_id, corpus, {_ek('subj')} AS slot_subj, {_pk('pred')} AS slot_pred, {_ek('obj')} AS object, coalesce(trank, 0) AS trank, coalesce(status = 'quarantined', false) AS held_back, vfrom, coalesce(sid, '') AS sid,
+    coalesce(sidx, 0) AS sidx, coalesce(tidx, 0) AS tidx, coalesce(conf, 0.0) AS conf
+  FROM facts_u WHERE coalesce(status, '') <> 'retracted' AND vfrom IS NOT NULL),
 claims AS (
-  SELECT corpus, slot_subj, slot_pred, object, max(trank) OVER w AS trank, held_back, vfrom, sidx, tidx, fact_id FROM singled
-  WINDOW w AS (PARTITION BY corpus, slot_subj, slot_pred, object)
+  SELECT corpus, slot_subj, slot_pred, object, fact_id, vfrom, sidx, tidx, sid, max(trank) OVER w AS trank,
+    held_back AND NOT coalesce(max(CASE WHEN NOT held_back THEN trank END) OVER w > trank, false) AS held_back,
+    (SELECT count(DISTINCT x.sid) FROM rows_ x WHERE x.sid <> '' AND (x.corpus, x.slot_subj, x.slot_pred, x.object) = (rows_.corpus, rows_.slot_subj, rows_.slot_pred, rows_.object)) AS sessions, conf AS own_conf,
+    slot_pred IN (SELECT pred FROM predicates WHERE arity = 'single') AS single
+  FROM rows_ WINDOW w AS (PARTITION BY corpus, slot_subj, slot_pred, object)
   QUALIFY row_number() OVER (PARTITION BY corpus, slot_subj, slot_pred, object ORDER BY vfrom, sidx, tidx, fact_id) = 1),
-ranked AS (
-  SELECT *, max(CASE WHEN NOT held_back THEN trank END) OVER (PARTITION BY corpus, slot_subj, slot_pred ORDER BY vfrom, sidx, tidx, fact_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM claims),
-taken AS (SELECT *, NOT held_back AND (above IS NULL OR trank >= above) AS accepted FROM ranked),
-judged AS (
-  SELECT *, last_value(CASE WHEN accepted THEN fact_id END IGNORE NULLS) OVER (PARTITION BY corpus, slot_subj, slot_pred ORDER BY vfrom, sidx, tidx, fact_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS head FROM taken),
-edges_ AS (SELECT CASE WHEN accepted THEN 'SUPERSEDES' ELSE 'CONTRADICTS' END AS rel, fact_id AS src, head AS dst FROM judged WHERE head IS NOT NULL),
+weighed AS (SELECT *, round(least(1.0, own_conf + 0.05 * greatest(sessions - 1, 0)), 6) AS conf FROM claims)"""
+
+# the walk itself: one step per claim of a slot, the open heads as a list
+_CLAIMS = f"""{_MERGED},
+steps AS (SELECT *, row_number() OVER (PARTITION BY corpus, slot_subj, slot_pred ORDER BY vfrom, sidx, tidx, fact_id) AS n, list_distinct(string_split(object, ' ')) AS ws FROM claims),
+walk AS (
+  SELECT corpus, slot_subj, slot_pred, n, CASE WHEN held_back THEN [] ELSE [{{'f': fact_id, 'w': ws, 'r': trank, 's': sid}}] END AS heads, CAST([] AS STRUCT(rel VARCHAR, src BIGINT, dst BIGINT)[]) AS made
+  FROM steps WHERE n = 1
+  UNION ALL
+  SELECT corpus, slot_subj, slot_pred, n,
+    CASE WHEN len(same) > 0 THEN CASE WHEN held_back THEN heads ELSE list_append(heads, me) END
+      WHEN NOT single THEN CASE WHEN held_back THEN heads ELSE list_append(heads, me) END
+      WHEN held_back OR len(above) > 0 THEN heads ELSE [me] END,
+    CASE WHEN len(same) > 0 THEN list_transform(list_filter(same, lambda h: h.s <> '' AND sid <> '' AND h.s <> sid), lambda h: {{'rel': 'CORROBORATES', 'src': fact_id, 'dst': h.f}})
+      WHEN NOT single THEN [] WHEN held_back OR len(above) > 0 THEN list_transform(heads, lambda h: {{'rel': 'CONTRADICTS', 'src': fact_id, 'dst': h.f}})
+      ELSE list_transform(heads, lambda h: {{'rel': 'SUPERSEDES', 'src': fact_id, 'dst': h.f}}) END
+  FROM (
+    SELECT s.*, w.heads, {{'f': s.fact_id, 'w': s.ws, 'r': s.trank, 's': s.sid}} AS me, list_filter(w.heads, lambda h: h.r > s.trank) AS above,
+      list_filter(w.heads, lambda h: s.object <> '' AND list_extract(h.w, 1) <> '' AND (len(h.w) < len(s.ws) AND list_has_all(s.ws, h.w) OR len(s.ws) < len(h.w) AND list_has_all(h.w, s.ws))) AS same
+    FROM walk w JOIN steps s ON (s.corpus, s.slot_subj, s.slot_pred) = (w.corpus, w.slot_subj, w.slot_pred) AND s.n = w.n + 1)),
+edges_ AS (SELECT m.rel, m.src, m.dst FROM (SELECT unnest(made) AS m FROM walk)),
 valid AS (
-  SELECT j.corpus, j.slot_subj, j.slot_pred, j.fact_id, j.vfrom, CASE WHEN n.vfrom IS NULL THEN 0 ELSE greatest(n.vfrom, j.vfrom) END AS vto
-  FROM judged j LEFT JOIN judged n ON n.head = j.fact_id AND n.accepted WHERE j.accepted)"""
+  SELECT c.corpus, c.slot_subj, c.slot_pred, c.fact_id, c.vfrom, CASE WHEN n.vfrom IS NULL THEN 0 ELSE greatest(n.vfrom, c.vfrom) END AS vto
+  FROM claims c LEFT JOIN edges_ e ON e.rel = 'SUPERSEDES' AND e.dst = c.fact_id LEFT JOIN claims n ON n.fact_id = e.src
+  WHERE c.single AND NOT c.held_back AND c.fact_id NOT IN (SELECT src FROM edges_ WHERE rel = 'CONTRADICTS')),
+degrees AS (SELECT fact_id, count(*) AS degree FROM (SELECT DISTINCT src, dst, unnest([src, dst]) AS fact_id FROM edges_ WHERE rel = 'CORROBORATES') GROUP BY fact_id)"""
 
 _NAMES = f"""
 every AS (SELECT corpus, unnest(list_concat([subj], coalesce(mentions, []))) AS name FROM facts),
@@ -107,38 +127,53 @@ mention AS (SELECT fact_id, corpus, unnest(mentions) AS m FROM facts_u),
 edges_all AS (
   SELECT 'MENTIONS' AS rel, 'fact:' || fact_id AS src, 'entity:' || corpus || ':' || {_ek('m')} AS dst FROM mention WHERE m IS NOT NULL AND {_ek('m')} <> ''
   UNION SELECT 'DERIVED_FROM', 'fact:' || fact_id, 'turn:' || turn_id FROM facts_u f JOIN turns_u t ON t.corpus = f.corpus AND t.sid = f.sid AND t.idx = f.tidx
-  UNION SELECT 'IN_SESSION', 'turn:' || turn_id, 'session:' || corpus || ':' || sid FROM turns_u WHERE sid IS NOT NULL)"""
+  UNION SELECT 'IN_SESSION', 'turn:' || turn_id, 'session:' || corpus || ':' || sid FROM turns_u WHERE sid IS NOT NULL
+  UNION SELECT rel, 'fact:' || src, 'fact:' || dst FROM edges_ WHERE rel IN ('SUPERSEDES', 'CORROBORATES'))"""
 
 
 def _expand(name: str, seeds: str, rels: str, hops: int) -> str:
-    """CTEs that end in ``name`` (seed, node, hops)."""
+    """CTEs that end in ``name`` (seed, node, hops, path)."""
     out = f"""
-{name}_both AS (SELECT src AS node, dst AS next FROM edges_all WHERE rel IN ({rels}) UNION SELECT dst, src FROM edges_all WHERE rel IN ({rels})),
-{name}_0 AS (SELECT DISTINCT seed, node, 0 AS hops FROM ({seeds}))"""
+{name}_both AS (SELECT src AS node, rel, dst AS next FROM edges_all WHERE rel IN ({rels}) UNION ALL SELECT dst, rel, src FROM edges_all WHERE rel IN ({rels})),
+{name}_0 AS (SELECT DISTINCT seed, node, 0 AS hops, node AS path FROM ({seeds}))"""
     for n in range(1, hops + 1):
         out += f""",
-{name}_{n} AS (SELECT seed, node, min(hops) AS hops FROM (
-  SELECT * FROM {name}_{n - 1} UNION ALL SELECT seed, next, hops + 1 FROM {name}_{n - 1} JOIN {name}_both USING (node) WHERE hops = {n - 1}) GROUP BY ALL)"""
+{name}_{n} AS (SELECT seed, node, min(hops) AS hops, arg_min(path, (hops, path)) AS path FROM (
+  SELECT * FROM {name}_{n - 1} UNION ALL SELECT seed, next, hops + 1, path || ' ' || rel || ' ' || next FROM {name}_{n - 1} JOIN {name}_both USING (node) WHERE hops = {n - 1}) GROUP BY seed, node)"""
     return out + f",\n{name} AS (SELECT * FROM {name}_{hops})"
 
 
-_ENTITY_SEEDS = f"SELECT step_id AS seed, 'entity:' || corpus || ':' || {_ek('subj')} AS node FROM asked WHERE subj IS NOT NULL"
-_CORROBORATION = f"""
-triples AS (SELECT fact_id, coalesce(sid, '') AS sid, concat_ws('|', corpus, {_ek('subj')}, {_pk('pred')}, {_ek('obj')}) AS triple FROM facts_u),
-degrees AS (SELECT fact_id, count(*) OVER (PARTITION BY triple) - count(*) OVER (PARTITION BY triple, sid) AS degree FROM triples)"""
-
-_WARRANT = f"""WITH {_FACTS}, {_TURNS}, {_ASKED}, {_SEARCH}, {_EDGES}, {_CORROBORATION},
-{_expand('near', _ENTITY_SEEDS, "'MENTIONS', 'DERIVED_FROM'", 3)},
+_PHRASES = f"""
+qw AS (SELECT step_id, corpus, regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}]+') AS ws FROM asked),
+starts AS (SELECT step_id, corpus, ws, unnest(range(1, len(ws) + 1)) AS i FROM qw),
+grams AS (SELECT step_id, corpus, n, i, ws[i:i + n - 1] AS g FROM starts, (VALUES (1), (2), (3)) v(n) WHERE i + n - 1 <= len(ws)),
+phrase AS (
+  SELECT step_id, corpus, phrase, row_number() OVER (PARTITION BY step_id ORDER BY n DESC, i) AS place FROM (
+    SELECT step_id, corpus, array_to_string(g, ' ') AS phrase, n, i FROM grams WHERE len(list_filter(g, lambda w: w IN ({_STOP}) OR length(w) < 2)) = 0)
+  QUALIFY row_number() OVER (PARTITION BY step_id, phrase ORDER BY n DESC, i) = 1)"""
+_NAMED = f"""{_NAMES}, {_PHRASES},
+named_m AS (SELECT step_id, p.corpus, norm, 1 AS pass, place FROM phrase p JOIN names n ON n.corpus = p.corpus AND n.norm = p.phrase
+  UNION ALL SELECT step_id, p.corpus, norm, 2, place FROM phrase p JOIN names n ON n.corpus = p.corpus AND length(phrase) >= 4 AND starts_with(n.norm, p.phrase)),
+named_b AS (SELECT step_id, corpus, norm, min((pass, place)) AS best_at FROM named_m GROUP BY ALL),
+named AS (SELECT step_id, corpus, norm, best_at[1] AS pass FROM named_b QUALIFY row_number() OVER (PARTITION BY step_id ORDER BY best_at, norm) <= 12)"""
+_ENTITY_SEEDS = f"SELECT step_id AS seed, 'entity:' || corpus || ':' || {_ek('subj')} AS node FROM asked WHERE subj IS NOT NULL UNION SELECT step_id, 'entity:' || corpus || ':' || norm FROM named"
+_CHOSEN = "SELECT fact_id AS seed, 'fact:' || fact_id AS node FROM facts_u WHERE fact_id % 100 = 0"
+_RELS = "'MENTIONS', 'DERIVED_FROM', 'SUPERSEDES', 'CORROBORATES'"
+_ALL = _RELS + ", 'IN_SESSION'"
+_GRAPH = f"{_CLAIMS}, {_TURNS}, {_ASKED}, {_EDGES}"
+
+_WARRANT = f"""WITH RECURSIVE {_GRAPH}, {_NAMED}, {_SEARCH},
+{_expand('near', _ENTITY_SEEDS, _RELS, 3)},
 strong AS (SELECT * FROM hits WHERE rank <= 2 AND score >= 0.35),
-{_expand('walk', "SELECT step_id AS seed, 'fact:' || fact_id AS node FROM strong", "'MENTIONS', 'DERIVED_FROM', 'IN_SESSION'", 4)},
-by_entity AS (SELECT seed AS step_id, CAST(substr(node, 6) AS BIGINT) AS fact_id, hops, CASE WHEN hops <= 1 THEN 1.0 ELSE 0.5 END AS anchor, 0.0 AS lexical, 0.0 AS neighbour FROM near WHERE node LIKE 'fact:%'),
-by_text AS (SELECT step_id, fact_id, 1 AS hops, 0.0 AS anchor, score AS lexical, 0.0 AS neighbour FROM hits),
+{_expand('tread', "SELECT step_id AS seed, 'fact:' || fact_id AS node FROM strong", _ALL, 4)},
+by_entity AS (SELECT seed AS step_id, CAST(substr(node, 6) AS BIGINT) AS fact_id, hops, path, CASE WHEN hops <= 1 THEN 1.0 ELSE 0.5 END AS anchor, 0.0 AS lexical, 0.0 AS neighbour FROM near WHERE node LIKE 'fact:%'),
+by_text AS (SELECT step_id, fact_id, 1 AS hops, '~text fact:' || fact_id AS path, 0.0 AS anchor, score AS lexical, 0.0 AS neighbour FROM hits),
 earlier AS (SELECT step_id, fact_id FROM by_entity UNION SELECT step_id, fact_id FROM by_text),
 by_anchor AS (
-  SELECT w.seed AS step_id, CAST(substr(node, 6) AS BIGINT) AS fact_id, hops, CASE WHEN hops <= 1 THEN 1.0 ELSE 0.5 END AS anchor, 0.0 AS lexical,
+  SELECT w.seed AS step_id, CAST(substr(node, 6) AS BIGINT) AS fact_id, hops, path, CASE WHEN hops <= 1 THEN 1.0 ELSE 0.5 END AS anchor, 0.0 AS lexical,
     CASE WHEN e.step_id IS NULL THEN (SELECT max(score) FROM strong s WHERE s.step_id = w.seed) ELSE 0.0 END AS neighbour
-  FROM walk w LEFT JOIN earlier e ON e.step_id = w.seed AND 'fact:' || e.fact_id = w.node WHERE node LIKE 'fact:%'),
-found AS (SELECT step_id, fact_id, min(hops) AS hops, max(anchor) AS anchor, max(lexical) AS lexical, max(neighbour) AS neighbour FROM (
+  FROM tread w LEFT JOIN earlier e ON e.step_id = w.seed AND 'fact:' || e.fact_id = w.node WHERE node LIKE 'fact:%'),
+found AS (SELECT step_id, fact_id, min(hops) AS hops, arg_min(path, (hops, path)) AS path, max(anchor) AS anchor, max(lexical) AS lexical, max(neighbour) AS neighbour FROM (
   SELECT * FROM by_entity UNION ALL SELECT * FROM by_text UNION ALL SELECT * FROM by_anchor) GROUP BY ALL),
 slots AS (SELECT fact_id, corpus, {_ek('subj')} AS ss, {_pk('pred')} AS sp, trank, status, vfrom, coalesce(vto, 0) AS vto, {_pk('pred')} IN (SELECT pred FROM predicates WHERE arity = 'single') AS single FROM facts_u),
 hydrated AS (SELECT f.*, s.corpus, s.ss, s.sp, s.single, a.as_of_epoch FROM found f JOIN slots s USING (fact_id) JOIN asked a ON a.step_id = f.step_id AND a.corpus = s.corpus),
@@ -146,28 +181,22 @@ picks AS (
   SELECT DISTINCT h.step_id, h.corpus, h.ss, h.sp, m.fact_id AS target, m.vfrom FROM hydrated h JOIN slots m ON m.corpus = h.corpus AND m.ss = h.ss AND m.sp = h.sp
   WHERE h.single AND m.status IN ('active', 'superseded') AND (as_of_epoch IS NULL OR (m.vfrom <= as_of_epoch AND (m.vto = 0 OR as_of_epoch < m.vto)))),
 chosen AS (SELECT * FROM picks QUALIFY row_number() OVER (PARTITION BY step_id, corpus, ss, sp ORDER BY vfrom DESC, target DESC) = 1),
-resolved AS (SELECT h.step_id, CASE WHEN h.single THEN c.target ELSE h.fact_id END AS fact_id, hops, anchor, lexical, neighbour
+resolved AS (SELECT h.step_id, CASE WHEN h.single THEN c.target ELSE h.fact_id END AS fact_id, hops, CASE WHEN h.single AND c.target <> h.fact_id THEN path || ' SUPERSEDES fact:' || c.target ELSE path END AS path, anchor, lexical, neighbour
   FROM hydrated h LEFT JOIN chosen c ON c.step_id = h.step_id AND c.corpus = h.corpus AND c.ss = h.ss AND c.sp = h.sp),
-folded AS (SELECT step_id, fact_id, min(hops) AS hops, max(anchor) AS anchor, max(lexical) AS lexical, max(neighbour) AS neighbour FROM resolved WHERE fact_id IS NOT NULL GROUP BY ALL),
+folded AS (SELECT step_id, fact_id, min(hops) AS hops, arg_min(path, (hops, path)) AS path, max(anchor) AS anchor, max(lexical) AS lexical, max(neighbour) AS neighbour FROM resolved WHERE fact_id IS NOT NULL GROUP BY ALL),
 good AS (
   SELECT f.*, trank, vfrom, coalesce(degree, 0) AS degree, dense_rank() OVER (PARTITION BY step_id ORDER BY vfrom) AS dr
   FROM folded f JOIN slots USING (fact_id) LEFT JOIN degrees USING (fact_id) WHERE status IN ('active', 'superseded') AND trank >= 1),
 scored AS (
   SELECT *, round(0.26 * lexical + 0.10 * anchor + 0.14 * neighbour + 0.10 / (1 + hops) + 0.22 * trank / 3 + 0.06 * least(degree, 3) / 3
     + 0.12 * ((dr - 1) / greatest(1, max(dr) OVER (PARTITION BY step_id) - 1)), 6) AS score FROM good)
-SELECT step_id, fact_id, rank, score, hops, lexical FROM (
+SELECT step_id, fact_id, rank, score, hops, lexical, path AS chain FROM (
   SELECT *, row_number() OVER (PARTITION BY step_id ORDER BY score DESC, hops, vfrom DESC, fact_id) AS rank FROM scored WHERE score >= 0.05) WHERE rank <= 64"""
 
 _CITED = "cited AS (SELECT DISTINCT verdict_id, answered, fact_id FROM (SELECT verdict_id, answered, unnest(citations) AS fact_id FROM verdicts_u) WHERE coalesce(fact_id, 0) <> 0)"
 _PLACED = "placed AS (SELECT DISTINCT corpus, sid, idx AS tidx FROM turns)"
 _LOST = "lost AS (SELECT fact_id FROM facts_u f WHERE NOT EXISTS (SELECT 1 FROM placed p WHERE p.corpus = f.corpus AND p.sid = f.sid AND p.tidx = f.tidx))"
 
-_PHRASES = f"""
-qw AS (SELECT step_id, corpus, regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}]+') AS ws FROM asked),
-starts AS (SELECT step_id, corpus, ws, unnest(range(1, len(ws) + 1)) AS i FROM qw),
-grams AS (SELECT step_id, corpus, ws[i:i + n - 1] AS g FROM starts, (VALUES (1), (2), (3)) v(n) WHERE i + n - 1 <= len(ws)),
-phrase AS (SELECT DISTINCT step_id, corpus, array_to_string(g, ' ') AS phrase FROM grams WHERE len(list_filter(g, lambda w: w IN ({_STOP}) OR length(w) < 2)) = 0)"""
-
 ORACLES = {
     "postings_build": f"WITH {_POSTINGS} SELECT * FROM posted",
     "tokenize_stem": f"WITH {_POSTINGS} SELECT corpus, term, count(*) AS df, sum(tf) AS occurrences FROM posted GROUP BY corpus, term",
@@ -188,32 +217,32 @@ WITH records AS (SELECT corpus, {_ek('subject')} AS subj, {_pk('predicate')} AS
 SELECT corpus, subj, pred, obj, count(*) AS records, count(DISTINCT sid) AS sessions, min(valid_from) AS vfrom,
   round(least(1.0, max(conf) + 0.05 * greatest(count(DISTINCT sid) - 1, 0)), 6) AS conf, CAST(len(list_distinct(list_filter(flatten(list(coalesce(entities, []))), lambda e: e IS NOT NULL))) AS INTEGER) AS n_entities
 FROM records GROUP BY corpus, subj, pred, obj""",
-    "reconcile_edges": f"WITH {_CLAIMS} SELECT rel, src, dst FROM edges_",
-    "reconcile_contradict": f"WITH {_CLAIMS} SELECT src AS newer, dst AS standing FROM edges_ WHERE rel = 'CONTRADICTS'",
-    "validity_intervals": f"WITH {_CLAIMS} SELECT fact_id, vfrom, vto FROM valid",
-    "current_facts": f"WITH {_CLAIMS} SELECT corpus, slot_subj AS subj, slot_pred AS pred, fact_id FROM valid WHERE vto = 0",
-    "lineage_depth": f"""WITH {_CLAIMS}, step AS (SELECT src, dst FROM edges_ WHERE rel = 'SUPERSEDES'),
-l1 AS (SELECT src, dst, 1 AS depth FROM step), l2 AS (SELECT l1.src, step.dst, 2 AS depth FROM l1 JOIN step ON step.src = l1.dst),
-l3 AS (SELECT l2.src, step.dst, 3 AS depth FROM l2 JOIN step ON step.src = l2.dst), l4 AS (SELECT l3.src, step.dst, 4 AS depth FROM l3 JOIN step ON step.src = l3.dst)
-SELECT src AS fact_id, max(depth) AS depth FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3 UNION ALL SELECT * FROM l4) GROUP BY src""",
+    "reconcile_edges": f"WITH RECURSIVE {_CLAIMS} SELECT rel, src, dst FROM edges_",
+    "reconcile_contradict": f"WITH RECURSIVE {_CLAIMS} SELECT src AS newer, dst AS standing FROM edges_ WHERE rel = 'CONTRADICTS'",
+    "validity_intervals": f"WITH RECURSIVE {_CLAIMS} SELECT fact_id, vfrom, vto FROM valid",
+    "current_facts": f"WITH RECURSIVE {_CLAIMS} SELECT corpus, slot_subj AS subj, slot_pred AS pred, fact_id FROM valid WHERE vto = 0",
+    "lineage_depth": f"""WITH RECURSIVE {_CLAIMS}, down AS (SELECT src, max(dst) AS dst FROM edges_ WHERE rel = 'SUPERSEDES' GROUP BY src), up AS (SELECT dst AS src, max(src) AS dst FROM edges_ WHERE rel = 'SUPERSEDES' GROUP BY dst),
+below AS (SELECT src, dst, 1 AS d FROM down UNION ALL SELECT b.src, s.dst, d + 1 FROM below b JOIN down s ON s.src = b.dst),
+above AS (SELECT src, dst, 1 AS d FROM up UNION ALL SELECT b.src, s.dst, d + 1 FROM above b JOIN up s ON s.src = b.dst)
+SELECT fact_id, CAST(max(o) AS BIGINT) AS older, CAST(max(n) AS BIGINT) AS newer FROM (SELECT src AS fact_id, d AS o, 0 AS n FROM below UNION ALL SELECT src, 0, d FROM above) GROUP BY fact_id""",
     "facts_as_of": """SELECT corpus, subj, pred, fact_id FROM facts WHERE status IN ('active', 'superseded') AND vfrom <= 1735689600 AND (coalesce(vto, 0) = 0 OR vto > 1735689600)
 QUALIFY row_number() OVER (PARTITION BY corpus, subj, pred ORDER BY vfrom DESC, fact_id DESC) = 1""",
-    "corroboration_degree": f"WITH {_FACTS}, {_CORROBORATION} SELECT fact_id, degree FROM degrees WHERE degree > 0",
-    "entity_exact_prefix": f"""WITH {_ASKED}, {_NAMES}, {_PHRASES},
-m AS (SELECT step_id, norm, 1 AS pass FROM phrase p JOIN names n ON n.corpus = p.corpus AND n.norm = p.phrase
-  UNION ALL SELECT step_id, norm, 2 FROM phrase p JOIN names n ON n.corpus = p.corpus AND length(phrase) >= 4 AND starts_with(n.norm, p.phrase)),
-b AS (SELECT step_id, norm, min(pass) AS pass FROM m GROUP BY ALL)
-SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY step_id ORDER BY pass, norm) <= 12""",
+    "corroboration_degree": f"WITH RECURSIVE {_CLAIMS} SELECT * FROM degrees",
+    "claims_merged": f"WITH {_MERGED} SELECT corpus, slot_subj AS subj, slot_pred AS pred, object, fact_id, trank, conf, held_back, sessions, single FROM weighed",
+    "claim_confidence": f"WITH RECURSIVE {_CLAIMS} SELECT fact_id, round(least(1.0, conf + 0.05 * coalesce(degree, 0)), 6) AS conf FROM weighed LEFT JOIN degrees USING (fact_id)",
+    "entity_exact_prefix": f"WITH {_ASKED}, {_NAMED} SELECT step_id, norm, pass FROM named",
     "alias_fold": f"""WITH {_NAMES}, proper AS (SELECT corpus, norm, string_split(norm, ' ') AS parts FROM names WHERE regexp_matches(name, '{PROPER}')),
 heads AS (SELECT corpus, norm, cut, array_to_string(parts[1:cut], ' ') AS target FROM (SELECT *, unnest(range(1, len(parts))) AS cut FROM proper WHERE len(parts) BETWEEN 2 AND 4)),
 nearest AS (SELECT h.corpus, h.norm, h.target FROM heads h JOIN proper p ON p.corpus = h.corpus AND p.norm = h.target QUALIFY row_number() OVER (PARTITION BY h.corpus, h.norm ORDER BY cut DESC) = 1),
 a0 AS (SELECT corpus, min(norm) AS norm, target FROM nearest GROUP BY corpus, target HAVING count(*) = 1),
 a1 AS (SELECT a.corpus, a.norm, coalesce(b.target, a.target) AS target FROM a0 a LEFT JOIN a0 b ON b.corpus = a.corpus AND b.norm = a.target)
 SELECT a.corpus, a.norm, coalesce(b.target, a.target) AS target FROM a1 a LEFT JOIN a1 b ON b.corpus = a.corpus AND b.norm = a.target""",
-    "graph_edges": f"WITH {_FACTS}, {_TURNS}, {_EDGES} SELECT * FROM edges_all",
-    "paths_bounded": f"""WITH {_FACTS}, {_TURNS}, {_ASKED}, {_EDGES}, {_expand('near', _ENTITY_SEEDS, "'MENTIONS', 'DERIVED_FROM'", 3)} SELECT seed, node, hops FROM near""",
-    "anchor_expand": f"""WITH {_FACTS}, {_TURNS}, {_EDGES}, {_expand('near', "SELECT fact_id AS seed, 'fact:' || fact_id AS node FROM facts_u WHERE fact_id % 100 = 0", "'MENTIONS', 'DERIVED_FROM', 'IN_SESSION'", 4)} SELECT seed, node, hops FROM near""",
-    "neighbourhood": f"WITH {_FACTS}, {_TURNS}, {_EDGES} SELECT * FROM edges_all WHERE src IN (SELECT 'fact:' || fact_id FROM facts_u WHERE fact_id % 100 = 0)",
+    "graph_edges": f"WITH RECURSIVE {_GRAPH} SELECT * FROM edges_all",
+    "paths_bounded": f"WITH RECURSIVE {_GRAPH}, {_NAMED}, {_expand('near', _ENTITY_SEEDS, _RELS, 3)} SELECT * FROM near",
+    "anchor_expand": f"WITH RECURSIVE {_GRAPH}, {_expand('near', _CHOSEN, _ALL, 4)} SELECT * FROM near",
+    # an edge is on a way of two steps if one of its ends is at most one step away
+    "neighbourhood": f"""WITH RECURSIVE {_GRAPH}, {_NAMED}, {_expand('near', f"SELECT node AS seed, node FROM ({_ENTITY_SEEDS}) UNION SELECT node, node FROM ({_CHOSEN})", _RELS, 1)}
+SELECT seed, rel, src, dst FROM near JOIN edges_all ON node = src WHERE rel IN ({_RELS}) UNION SELECT seed, rel, src, dst FROM near JOIN edges_all ON node = dst WHERE rel IN ({_RELS})""",
     "warrant_rank": _WARRANT,
     "orphans": f"WITH {_FACTS}, {_PLACED}, {_LOST} SELECT fact_id FROM lost",
     "dangling_edges": f"WITH {_VERDICTS}, {_CITED} SELECT verdict_id, fact_id FROM cited WHERE fact_id NOT IN (SELECT fact_id FROM facts)",
@@ -225,7 +254,7 @@ SELECT *, orphans = 0 AND dangling = 0 AND leaked = 0 AS ok FROM counts""",
     "history_topn": f"WITH {_VERDICTS} SELECT verdict_id, question, answered, ts FROM verdicts_u LEFT JOIN walkthrough USING (step_id) ORDER BY ts DESC, verdict_id LIMIT 20",
     "rejections_topn": f"""WITH {_TURNS}, r AS (SELECT * FROM rejections QUALIFY row_number() OVER (PARTITION BY rejection_id ORDER BY ts) = 1)
 SELECT rejection_id, rule_id, turn_role, r.ts FROM r LEFT JOIN turns_u USING (turn_id) ORDER BY r.ts DESC, rejection_id LIMIT 50""",
-    "explain_fact": f"""WITH {_CLAIMS}, {_VERDICTS}, {_CITED}
+    "explain_fact": f"""WITH RECURSIVE {_CLAIMS}, {_VERDICTS}, {_CITED}
 SELECT f.fact_id, f.status, s.title, array_to_string(list_sort(list_distinct(list_filter(f.mentions, lambda m: m IS NOT NULL))), '; ') AS mentions, o.dst AS supersedes, n.src AS superseded_by, coalesce(c.k, 0) AS cited_by
 FROM facts_u f LEFT JOIN sessions s ON s.corpus = f.corpus AND s.sid = f.sid
 LEFT JOIN edges_ o ON o.rel = 'SUPERSEDES' AND o.src = f.fact_id LEFT JOIN edges_ n ON n.rel = 'SUPERSEDES' AND n.dst = f.fact_id
@@ -275,6 +304,10 @@ f AS (SELECT corpus, count(*) AS facts, count_if(status = 'quarantined') AS quar
 r AS (SELECT corpus, count(DISTINCT rejection_id) AS rejections FROM rejections GROUP BY corpus)
 SELECT corpus, coalesce(turns, 0) AS turns, coalesce(facts, 0) AS facts, coalesce(quarantined, 0) AS quarantined, coalesce(superseded, 0) AS superseded, coalesce(rejections, 0) AS rejections
 FROM t FULL JOIN f USING (corpus) FULL JOIN r USING (corpus)""",
-    "paths_between": f"""WITH {_FACTS}, {_TURNS}, {_ASKED}, {_EDGES}, {_expand('near', _ENTITY_SEEDS, "'MENTIONS', 'DERIVED_FROM', 'IN_SESSION'", 3)} SELECT seed, node, hops FROM near WHERE node LIKE 'session:%'""",
-    "upsert_facts": f"WITH {_CLAIMS} SELECT fact_id, 'accepted' AS status, vfrom FROM valid UNION ALL SELECT fact_id, status, vfrom FROM facts_u WHERE fact_id NOT IN (SELECT fact_id FROM valid)",
+    "paths_between": f"""WITH RECURSIVE {_GRAPH}, {_NAMED}, goals AS (SELECT DISTINCT step_id AS seed, 'session:' || corpus || ':' || sid AS goal FROM (SELECT step_id, corpus, unnest(must_cite_sessions) AS sid FROM asked)),
+both_ AS (SELECT src AS node, rel, dst AS next FROM edges_all UNION ALL SELECT dst, rel, src FROM edges_all),
+ways AS (SELECT DISTINCT seed, goal, node, [node] AS nodes, node AS path, 0 AS hops FROM ({_ENTITY_SEEDS}) JOIN goals USING (seed)
+  UNION ALL SELECT seed, goal, next, list_append(nodes, next), path || ' ' || rel || ' ' || next, hops + 1 FROM ways w JOIN both_ b ON b.node = w.node WHERE hops < 4 AND w.node <> goal AND NOT list_contains(nodes, next))
+SELECT DISTINCT seed, node, hops, path, row_number() OVER (PARTITION BY seed, node ORDER BY hops, path) AS n FROM (SELECT DISTINCT seed, node, hops, path FROM ways WHERE node = goal AND hops > 0) QUALIFY n <= 50""",
+    "upsert_facts": f"WITH RECURSIVE {_CLAIMS} SELECT fact_id, 'accepted' AS status, vfrom FROM valid UNION ALL SELECT fact_id, status, vfrom FROM facts_u WHERE fact_id NOT IN (SELECT fact_id FROM valid)",
 }
