@@ -2,12 +2,12 @@ import random
 
 import pytest
 
-from veritrail.llm.truncation import cut_texts, ending, truncation_report
+from veritrail.llm.truncation import cut_texts, ending, length_hazards, significant_lengths, truncation_report
 
 WHOLE = [
     "All is well.", "ok", "Notes on the budget", "Re: winter exhibit", "It ended.\n\nBest regards\nNora Salgado", "It ended.\n\n-- \nNora\nAlpha Works", "It ended.\n\nSent from my Phone 12", "It ended.\n\nSee also https://pages.example/a",
     "List\n- one\n- two\n* three", "It ended. Who knows…", "It ended. To be continued...", "It ended.\n\n```\nselect 1\n```", "<p>It ended.</p>", "assistant: It ended.\nuser: great, bye", "“Keep it,” he said.", "It ended.\n\n[end of file]",
-    "a | b | c\nd | e | f", "これは終わった。", "It ended.\n\n:)", "Is it so?", "It ended (in May).",
+    "a | b | c\nd | e | f", "これは終わった。", "It ended.\n\n:)", "Is it so?", "It ended (in May).", "[1] It ended.", '{"a": [1, "b"]}', "[2024-05-01 10:00] started\n[2024-05-01 10:01] It ended.",
 ]
 CUT = [
     "All is well. The next one bro", "All is well. The next one said that ", "It ended. The price is &#82", "It ended. The price is in the acc<br", "It ended. The second dra=", "It ended. Over ther�", "assistant: It ended.\nuser: Her colleague at the off",
@@ -17,13 +17,12 @@ CUT = [
 
 @pytest.mark.parametrize("text", WHOLE)
 def test_whole_endings(text):
-    level, _ = ending(text, True, text.count("```"), False)
-    assert level < 2
+    assert ending(text, text.count("```"))[0] < 2
 
 
 @pytest.mark.parametrize("text", CUT)
 def test_cut_endings(text):
-    assert ending(text, True, text.count("```"), False)[0] == 2
+    assert ending(text, text.count("```"))[0] == 2
 
 
 SCHEMA = "doc_id long, text string, source string, _level string, unit int"
@@ -52,5 +51,18 @@ def test_limit_of_a_source_is_found(spark, rows):
     assert report["limited"]["at_limit"] == len(want) and report[""]["cut"] == 0
 
 
+def test_every_length_is_a_hypothesis(spark):
+    def limits(lengths):
+        df = spark.createDataFrame([("s", "chars", *x) for x in lengths], "source string, unit string, length long, n long, texts long")
+        return sorted(r["length"] for r in significant_lengths(length_hazards(df)).collect())
+
+    few = [(n, 0, 5) for n in range(100, 140, 2)]
+    assert limits([*few, (120, 3, 3)][:10] + few[11:] + [(121, 3, 3)]) == [121]  # three at one length, nothing around
+    many = [(n, 0, 5) for n in range(100, 9000, 2)]
+    assert limits([*many, (4001, 2, 2)]) == []  # among thousands of lengths two prove nothing
+    # what scatters around a limit is none itself
+    assert limits([*many, (4001, 900, 900), (4005, 30, 30)]) == [4001]
+
+
 def test_empty_table(spark, rows):
     assert rows(cut_texts(spark.createDataFrame([], SCHEMA), "doc_id", "text", "source")) == []

@@ -17,9 +17,9 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Characters of the end of a text that tell how its last lines stop.
-TAIL = 1500
-
+#: No residue of a cut that ``_RESIDUE`` can match needs more characters than this: its longest form
+#: is a tag of 80, and of a run of octets or broken characters every end matches by itself.
+_RESIDUE_REACH = 200
 TERMINAL = ".!?。！？…"
 CLOSERS = "\"'”’»)]}>*_`」』）】"
 _ELLIPSIS = re.compile(r"(?:\.\.\.|…|\[\.\.\.\]|\(\.\.\.\)|\[…\]|\(…\))$")
@@ -31,6 +31,7 @@ _RESIDUE = re.compile(
     r"|</?[a-zA-Z][^<>]{0,80}|</?"  # half a tag
     r"|\\u[0-9a-fA-F]{0,3}|(?<!\\)\\)$"
 )
+_JSON_START = re.compile(r'[\[{]\s*(?:["\[{\]}\d-]|true|false|null)')
 _LIST = re.compile(r"\s*(?:[-*•·+–]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s+\S")
 _QUOTE = re.compile(r"^(?:>\s?)+")
 _ROLE = re.compile(r"^[a-z_]{2,12}: ", re.I)
@@ -68,18 +69,18 @@ def _open_json(text: str) -> bool:
     return quoted or depth > 0
 
 
-def ending(tail: str, whole: bool, fences: int, structured: bool) -> tuple[int, bool]:
+def ending(whole: str, fences: int) -> tuple[int, bool]:
     """How complete a text is: 0 whole, 1 without a full stop, 2 cut; and if it ends in dots.
 
-    ``tail``: its last characters, ``whole``: they are all of it, ``fences``: number of code
-    fences, ``structured``: the text is JSON or starts like it.
+    ``fences``: number of code fences in it.
     """
-    text = tail.rstrip()
+    text = whole.rstrip()
     if not text:
         return 0, False
-    if structured:
-        return (2 if not whole else 0), False
-    if _RESIDUE.search(text) and not re.search(r"(?:^|\s)(?:=+|&|<)$", text):
+    if text[0] in "{[" and (form := _structure(text)):
+        return (2 if form == "open" else 0), False
+    last_signs = text[-_RESIDUE_REACH:]
+    if _RESIDUE.search(last_signs) and not re.search(r"(?:^|\s)(?:=+|&|<)$", last_signs):
         return 2, False
     if fences % 2:
         return 2, False
@@ -91,7 +92,7 @@ def ending(tail: str, whole: bool, fences: int, structured: bool) -> tuple[int,
     body = re.sub(r"</?[a-zA-Z][^<>]*>", "", last).strip()
     if not body or last.startswith("```"):
         return 0, False
-    if "<" in tail and re.search(r"</(?:p|div|li|ul|ol|td|tr|table|body|html|h\d|span|blockquote)>$", last, re.I):
+    if re.search(r"</(?:p|div|li|ul|ol|td|tr|table|body|html|h\d|span|blockquote)>$", last, re.I):
         return 0, False
     if _ended(last):
         opened = last.count("“") - last.count("”")
@@ -121,7 +122,7 @@ def ending(tail: str, whole: bool, fences: int, structured: bool) -> tuple[int,
     wide = re.search(r"[぀-ヿ一-鿿]", said)
     if role:
         # a short reply starts small; a sentence that breaks off starts like a sentence
-        return (1 if len(words) <= 4 and said[:1].islower() and not tail.endswith(" ") else 2), False
+        return (1 if len(words) <= 4 and said[:1].islower() and not whole.endswith(" ") else 2), False
     if not filled:
         # a text of one line: a word, a heading, a status
         if len(words) <= 7 and not wide and not re.search(r"[.!?]\s", said):
@@ -130,18 +131,26 @@ def ending(tail: str, whole: bool, fences: int, structured: bool) -> tuple[int,
     return 2, False
 
 
+def _structure(text: str) -> str:
+    """``closed`` for JSON, ``open`` for the beginning of some; else the text is none and "" comes back.
+
+    Prose that begins with a bracket ("[1] The ...", "[2024-05-01] done") opens nothing.
+    """
+    if not _JSON_START.match(text):
+        return ""
+    try:
+        json.loads(text)
+        return "closed"
+    except ValueError:
+        return "open" if _open_json(text) else ""
+
+
 def _judge(doc: str, kind: str):
     def judge(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             level, dots = [], []
-            for tail, text, fences in zip(pdf["_tail"], pdf["_json"], pdf["_fences"]):
-                structured, whole = text is not None, True
-                if structured:
-                    try:
-                        json.loads(text)
-                    except ValueError:
-                        whole = not _open_json(text)
-                a, b = ending(tail, whole, int(fences), structured)
+            for text, fences in zip(pdf["_text"], pdf["_fences"]):
+                a, b = ending(text, int(fences))
                 level.append(a)
                 dots.append(b)
             yield pd.DataFrame({doc: pdf[doc], "source": pdf["source"], "_chars": pdf["_chars"], "_bytes": pdf["_bytes"], "_level": level, "_dots": dots})
@@ -167,8 +176,9 @@ def length_hazards(lengths: DataFrame, reach: int = 25) -> DataFrame:
     """Per source, unit and length: texts that break off there, texts at least as long, neighbours.
 
     ``lengths``: source, unit, length, n (texts that break off or end in dots), texts (all).
-    ``near_ends`` counts as n the lengths within ``reach`` of it, itself left out; it estimates
-    the hazard it is tested against. Whole texts that happen to be equally long (``ok``, a name)
+    ``near_ends`` sums n over the lengths within ``reach`` of it, itself left out; it estimates the
+    hazard it is tested against. A limit raises it for those beside it on purpose: cuts that left
+    something behind scatter around their limit, and whole texts that end there are none. Whole texts that happen to be equally long (``ok``, a name)
     are at risk but are no event.
     """
     part = Window.partitionBy("source", "unit").orderBy("length")
@@ -178,23 +188,25 @@ def length_hazards(lengths: DataFrame, reach: int = 25) -> DataFrame:
     return lengths.select("*", risk.alias("at_risk"), around.alias("near_ends"))
 
 
-def significant_lengths(hazards: DataFrame, reach: int = 25, rate: float = 0.01, least: int = 5) -> DataFrame:
+def significant_lengths(hazards: DataFrame, reach: int = 25, rate: float = 0.01) -> DataFrame:
     """Lengths whose hazard exceeds their neighbours' (Benjamini-Hochberg at ``rate``).
 
-    At least ``least`` texts must end there. The neighbouring hazard counts one text more than
-    was seen, so an empty neighbourhood proves nothing by itself.
+    Every length of a source at which a text ends is a hypothesis, those at which none breaks off
+    among them, so that the rate of false discoveries is the stated one. The neighbouring hazard
+    counts one text more than was seen: an empty neighbourhood proves nothing by itself.
     """
 
     def chances(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             p = [min(0.5, (near + 1) / (2 * reach * max(1, risk))) for near, risk in zip(pdf["near_ends"], pdf["at_risk"])]
             pdf["chance"] = [_tail_chance(int(k), int(n), q) for k, n, q in zip(pdf["n"], pdf["at_risk"], p)]
-            yield pdf[["source", "unit", "length", "n", "at_risk", "chance"]]
+            yield pdf[["source", "unit", "length", "n", "at_risk", "_m", "chance"]]
 
-    tested = hazards.filter(F.col("n") >= least).mapInPandas(chances, "source string, unit string, length long, n long, at_risk long, chance double")
     by_source = Window.partitionBy("source", "unit")
-    order = by_source.orderBy("chance", "length")
-    ranked = tested.select("*", F.row_number().over(order).alias("_i"), F.count("*").over(by_source).alias("_m"))
+    counted = hazards.withColumn("_m", F.count("*").over(by_source))
+    # where nothing breaks off the chance is 1: such a length counts, but needs no test
+    tested = counted.filter(F.col("n") > 0).select("source", "unit", "length", "n", "at_risk", "near_ends", "_m").mapInPandas(chances, "source string, unit string, length long, n long, at_risk long, _m long, chance double")
+    ranked = tested.withColumn("_i", F.row_number().over(by_source.orderBy("chance", "length")))
     passing = F.max(F.when(F.col("chance") <= rate * F.col("_i") / F.col("_m"), F.col("_i"))).over(by_source)
     return ranked.withColumn("_k", passing).filter(F.col("_i") <= F.col("_k")).select("source", "unit", "length", "n", "at_risk", "chance")
 
@@ -202,15 +214,12 @@ def significant_lengths(hazards: DataFrame, reach: int = 25, rate: float = 0.01,
 def judged_endings(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     """doc_id, source, _chars, _bytes, _level and _dots of every text that is not empty."""
     body = F.col(text)
-    start = F.substring(F.ltrim(body), 1, 1)
-    looks = start.isin("{", "[") & body.rlike(r'^\s*[\[{]\s*(?:["\[{\]}\d-]|true|false|null)')
     rows = docs.filter(F.length(body) > 0).select(
         doc_id,
         F.coalesce(F.col(source), F.lit("")).alias("source"),
         F.length(body).cast("long").alias("_chars"),
         F.octet_length(body).cast("long").alias("_bytes"),
-        F.substring(body, -TAIL, TAIL).alias("_tail"),
-        F.when(looks, body).alias("_json"),
+        F.ltrim(body).alias("_text"),
         F.size(F.split(body, r"(?m)^\s*```", -1)).alias("_fences"),
     ).withColumn("_fences", F.col("_fences") - 1)
     judge, schema = _judge(doc_id, docs.schema[doc_id].dataType.simpleString())
