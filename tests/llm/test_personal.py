@@ -54,6 +54,38 @@ def test_spans_and_placeholders(spark, corpus):
     assert "[EMAIL]" in texts[one[1]] and data[one[1]][2][one[2] : one[3]] not in texts[one[1]]
 
 
+def test_every_kind_is_found(spark, corpus):
+    data, want = corpus
+    found = {tuple(r) for r in personal_spans(spark.createDataFrame(data, SCHEMA)).collect()}
+    for kind in POOL:
+        mine = {w for w in want if w[4] == kind}
+        assert len(mine & found) / len(mine) > 0.95, (kind, sorted(mine - found)[:10])
+
+
+STRANGERS = ["Oleksandr Kovalenko", "Siobhan Gallagher", "Wei Zhang", "Bartholomew Quince", "Ravi Shankar", "Elizabeth Turner", "Ahmed Barzani"]
+MET = ["My manager is {}.", "Ask {} about the depot.", "Please copy {} on it.", "Contact {} before noon.", "I met {} in the lane.", "Dr. {} moved the appointment."]
+PLACES_AND_FIRMS = ["We met Monday at the depot.", "The Padra Mini is from Alpha Works.", "I prefer Harrow Freight, as always.", "Tell the caterer. Alpha Works called.", "The owner is away and Alpha Works is closed.", "Harrow Freight is late.", "Copy the list to Harrow Freight."]
+
+
+def test_names_off_the_list_are_found_where_they_are_introduced(spark):
+    said, want = [], set()
+    for i, name in enumerate(STRANGERS):
+        for j, form in enumerate(MET):
+            start = form.index("{}")
+            want.add(("s", len(said), start, start + len(name), "person"))
+            said.append(form.format(name) + f" Line {i}{j}.")
+    said += [t for t in PLACES_AND_FIRMS for _ in range(6)]
+    df = spark.createDataFrame([("s", i, t, "") for i, t in enumerate(said)], SCHEMA)
+    found = {tuple(r) for r in personal_spans(df).collect()}
+    assert found == want
+
+
+def test_the_gazetteer_is_an_argument(spark):
+    df = spark.createDataFrame([("s", i, f"{n} Tarvelo paid. The bill of {n} is closed. So {n} Ramisko said, and {n} Tarvelo too.", "") for i, n in enumerate(["Ximena", "Anna"] * 20)], SCHEMA)
+    names = lambda **kw: {r["rec_id"] % 2 for r in personal_spans(df, **kw).collect()}
+    assert names() == {1} and names(gazetteer=("Ximena",)) == {0} and names(gazetteer=()) == set()
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert personal_spans(df).collect() == [] and redacted(df, personal_spans(df)).collect() == []
