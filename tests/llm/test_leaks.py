@@ -51,6 +51,7 @@ def test_blocks_of_items(spark, rows, monkeypatch):
     from veritrail.llm import leaks
 
     monkeypatch.setattr(leaks, "BLOCK_CHARS", 500)
+    monkeypatch.setattr(leaks, "PASS_BLOCKS", 2)  # several passes
     docs, items = make(random.Random(4), False)
     a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert rows(leaked_passages(a, "doc_id", "text", b, "item_id", "text")) == brute(docs, items)
@@ -67,3 +68,23 @@ def test_band():
 
 def test_bound_stays_positive():
     assert ItemIndex([1], ["a b c d e f g h i j k l m"], 13, 24, 1).least >= 1
+
+
+def test_equal_items_and_short_words(spark, rows):
+    short = "a b c d e f g h i j k l m n o"
+    plain = " ".join(f"word{i}" for i in range(20))
+    items = [(1, plain), (2, plain.upper() + "!"), (3, short), (4, None)]
+    docs = [(1, f"x {plain} y"), (2, f"x {short} y"), (3, short[:20])]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert rows(leaked_passages(a, "doc_id", "text", b, "item_id", "text")) == [(1, 1), (1, 2), (2, 3)]
+
+
+def test_grams_that_many_items_share(spark, rows, monkeypatch):
+    from veritrail.llm import leaks
+
+    monkeypatch.setattr(leaks, "HITS", 50)
+    common = " ".join(f"common{i}" for i in range(14))
+    items = [(i, f"{common} own{i} tail") for i in range(30)]
+    docs = [(d, f"intro {d} {common} end") for d in range(20)]
+    found = leaks.ItemIndex([i for i, _ in items], [t for _, t in items], 13, 24, 1).leaks([t for _, t in docs])
+    assert len(list(found)) == 600

@@ -5,8 +5,11 @@ e edits share at least w + 1 - q - q*e q-grams, all on diagonals at most e apart
 are counted in overlapping diagonal bands; windows that reach the bound are verified by banded
 alignment. For exact passages of words, the words of the surviving region are compared last.
 
-Documents are only mapped, never shuffled: the index of the (small, size-checked) evaluation set
-is broadcast in blocks, and all documents are run against each block.
+Documents are only mapped, never shuffled. The evaluation set is indexed in blocks of a fixed size,
+and a pass over the documents takes a fixed number of blocks, each broadcast; what a pass found is
+written before the next one begins, so neither the driver nor an executor ever holds more than the
+blocks of one pass, whatever the size of the set. Equal texts are indexed once. Texts are indexed
+apart by the length of their shortest passage, as that decides how long the grams may be.
 """
 
 from __future__ import annotations
@@ -17,8 +20,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Characters of evaluation text per broadcast block (about 40 bytes of index each).
-BLOCK_CHARS = 4_000_000
+from veritrail.operators.shared import stage
+
+#: Characters of evaluation text per broadcast block (about 16 bytes of index each), and blocks that
+#: one pass over the documents takes.
+BLOCK_CHARS = 2_000_000
+PASS_BLOCKS = 8
+#: Candidate positions that are looked up at once.
+HITS = 4_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,8 +97,8 @@ class ItemIndex:
         self.least = max(1, self.window + 1 - self.q - self.q * edits)
         hashes = [gram_hashes(_codes(t), self.q) for t in texts]
         every = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
-        item = np.repeat(np.arange(len(texts), dtype="int64"), [len(h) for h in hashes])
-        place = np.concatenate([np.arange(len(h), dtype="int64") for h in hashes]) if hashes else np.empty(0, dtype="int64")
+        item = np.repeat(np.arange(len(texts), dtype="int32"), [len(h) for h in hashes])
+        place = np.concatenate([np.arange(len(h), dtype="int32") for h in hashes]) if hashes else np.empty(0, dtype="int32")
         order = np.argsort(every, kind="stable")
         self.grams, first = np.unique(every[order], return_index=True)
         self.starts = np.append(first, len(every)).astype("int64")
@@ -97,8 +106,8 @@ class ItemIndex:
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[(self.grams >> np.uint64(42)).astype("int64")] = True
 
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, item, item position) of every shared q-gram."""
+    def hits(self, hashes: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(position, item, item position) of every shared q-gram; null if there are more than ``most``."""
         maybe = np.flatnonzero(self.bits[(hashes >> np.uint64(42)).astype("int64")])
         at = np.searchsorted(self.grams, hashes[maybe])
         at[at == len(self.grams)] = 0
@@ -106,19 +115,27 @@ class ItemIndex:
         maybe, at = maybe[good], at[good]
         count = self.starts[at + 1] - self.starts[at]
         total = int(count.sum())
+        if most is not None and total > most:
+            return None
         rows = np.repeat(self.starts[at], count) + np.arange(total) - np.repeat(np.cumsum(count) - count, count)
         return np.repeat(maybe, count), self.item[rows], self.place[rows]
 
     def leaks(self, texts: list[str]) -> Iterator[tuple[int, int]]:
         """(text number, item number) of all texts that share a passage with an item."""
-        if not self.texts or self.window == 1 << 30:
+        if not self.texts or self.window == 1 << 30 or not texts:
             return
         starts, at = [], 0
         for t in texts:
             starts.append(at)
             at += len(t) + 1
         joined = "\x00".join(texts)
-        where, item, place = self.hits(gram_hashes(_codes(joined), self.q))
+        met = self.hits(gram_hashes(_codes(joined), self.q), HITS if len(texts) > 1 else None)
+        if met is None:  # grams that many items share: fewer texts at a time
+            half = len(texts) // 2
+            yield from self.leaks(texts[:half])
+            yield from ((d + half, i) for d, i in self.leaks(texts[half:]))
+            return
+        where, item, place = met
         if not len(where):
             return
         doc = np.searchsorted(np.asarray(starts), where, side="right") - 1
@@ -177,44 +194,80 @@ class ItemIndex:
         return any(" ".join(parts[i : i + self.words]) in runs for i in range(len(parts) - self.words + 1))
 
 
-def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[tuple[list[int], list[str]]]:
-    ids, texts, size = [], [], 0
-    for row in items.filter(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(item_id, normalised_words(F.col(text))).dropDuplicates().orderBy(item_id).toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1])
-        size += len(row[1])
-        if size >= BLOCK_CHARS:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+def passage_lengths(text: Column, words: int) -> Column:
+    """Length of the shortest passage of ``words`` words; null where a text has fewer."""
+    parts = F.split(text, " ")
+    starts = F.sequence(F.lit(1), F.greatest(F.size(parts) - words + 1, F.lit(1)))
+    return F.when(F.size(parts) >= words, F.array_min(F.transform(starts, lambda i: F.length(F.array_join(F.slice(parts, i, words), " ")))))
+
+
+def _blocks(items: DataFrame, words: int, q: int, edits: int) -> Iterator[ItemIndex]:
+    """``items`` (key, text, shortest) as indexes of at most about ``BLOCK_CHARS`` characters each.
+
+    Grams are as long as the shortest passage of their class allows, at most ``q``.
+    """
+    ladder = sorted({q, max(2, q * 2 // 3), max(2, q // 2), 2}, reverse=True)
+    above = None
+    for size in ladder:
+        fits = F.col("shortest") >= size * (1 + edits)
+        mine = items.filter(fits if above is None else fits & (F.col("shortest") < above * (1 + edits)))
+        above = size
+        keys, texts, held = [], [], 0
+        for row in mine.select("key", "text").toLocalIterator():
+            keys.append(row[0])
+            texts.append(row[1])
+            held += len(row[1])
+            if held >= BLOCK_CHARS:
+                yield ItemIndex(keys, texts, words, size, edits)
+                keys, texts, held = [], [], 0
+        if keys:
+            yield ItemIndex(keys, texts, words, size, edits)
 
 
 def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, words: int = 13, q: int = 24, edits: int = 1) -> DataFrame:
     """Documents and the items of which they hold at least ``words`` consecutive words.
 
     Words are runs of letters or digits in lower case. An item of fewer words cannot leak. Null
-    texts or ids hold nothing; a repeated document comes out once per item. The window is the
-    length of the shortest passage of ``words`` words in the block, so that every exact passage
-    passes the filter; ``q`` is lowered where the bound would not be positive.
+    texts or ids hold nothing; a repeated document comes out once per item, and items of equal
+    text leak together. The window is the length of the shortest passage of ``words`` words in a
+    block, so that every exact passage passes the filter; ``q`` is lowered for items whose
+    passages are too short for it.
     """
     spark = docs.sparkSession
-    kinds = f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, `{item_id}` {items.schema[item_id].dataType.simpleString()}"
+    kind = docs.schema[doc_id].dataType.simpleString()
+    out = f"`{doc_id}` {kind}, key {items.schema[item_id].dataType.simpleString()}"
     clean = docs.filter(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(doc_id, normalised_words(F.col(text)).alias("_text"))
-    out = None
-    for ids, texts in _blocks(items, item_id, item_text):
-        held = spark.sparkContext.broadcast(ItemIndex(ids, texts, words, q, edits))
+    known = items.filter(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), normalised_words(F.col(item_text)).alias("text")).distinct()
+    known = stage(known.withColumn("shortest", passage_lengths(F.col("text"), words)).filter(F.col("shortest").isNotNull()), "items")
+    # equal texts stand as one under the least of their ids
+    texts = stage(known.groupBy("text").agg(F.min("item").alias("key"), F.min("shortest").alias("shortest")), "item-texts")
+    copies = known.select("text", "item").join(texts.select("text", "key"), "text").select("key", F.col("item").alias(item_id))
 
-        def probe(batches: Iterable[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            index = held.value
+    def probing(held: list) -> DataFrame:
+        def probe(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                names = pdf[doc_id].tolist()
-                rows = [(names[d], index.ids[i]) for d, i in index.leaks(pdf["_text"].tolist())]
-                yield pd.DataFrame(rows, columns=[doc_id, item_id])
+                names, said, rows = pdf[doc_id].tolist(), pdf["_text"].tolist(), []
+                for block in held:
+                    rows += [(names[d], block.value.ids[i]) for d, i in block.value.leaks(said)]
+                yield pd.DataFrame(rows, columns=[doc_id, "key"])
+
+        return clean.mapInPandas(probe, out).distinct()
 
-        part = clean.mapInPandas(probe, kinds)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], kinds) if out is None else out.distinct()
+    found, held = [], []
+    blocks = _blocks(texts, words, q, edits)
+    for index in blocks:
+        held.append(spark.sparkContext.broadcast(index))
+        if len(held) == PASS_BLOCKS:
+            found.append(stage(probing(held), "leaks"))
+            for block in held:
+                block.destroy()
+            held = []
+    if held or not found:
+        found.append(probing(held))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.join(copies, "key").select(doc_id, item_id).distinct()
 
 
 def leak_report(found: DataFrame, item_id: str) -> DataFrame:

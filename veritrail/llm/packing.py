@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from veritrail.operators.shared import stage, width
+from veritrail.operators.shared import HOT_ROWS, stage, width
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern that belongs to this public vocabulary.
@@ -131,7 +131,8 @@ def packed(counts: DataFrame, row_id: str, capacities: dict[int, int]) -> DataFr
     short fixed table. A repeated ``row_id`` is packed as often as it comes.
     """
     spark = counts.sparkSession
-    buckets = width(spark)
+    # a length that very many texts have is ranked in as many parts as it takes
+    buckets = max(width(spark), -(-counts.count() // HOT_ROWS))
     sizes = F.explode(F.array(*(F.struct(F.lit(i).alias("size_id"), F.lit(c).cast("long").alias("capacity")) for i, c in sorted(capacities.items()))))
     each = counts.select(row_id, "n_tokens", sizes.alias("_x")).select(row_id, F.col("n_tokens").alias("_t"), "_x.*")
     n_pieces = F.greatest(F.lit(1), F.ceil(F.col("_t") / F.col("capacity"))).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veritrail.llm.formatting_copies import copy_counts, formatting_copies
 from veritrail.llm.leaks import leak_report, leaked_passages
-from veritrail.llm.packing import packed, packing_report, token_counts
+from veritrail.llm.packing import RANKS, packed, packing_report, token_counts
 from veritrail.llm.personal import personal_spans, redacted
 from veritrail.llm.truncation import cut_texts, truncation_report
 from veritrail.operators.shared import stage
@@ -37,7 +37,9 @@ def p4_copies(spark: SparkSession, root: str) -> DataFrame:
 
 def p8_packed(spark: SparkSession, root: str) -> DataFrame:
     sizes = {r["size_id"]: r["capacity"] for r in table(spark, root, "context_sizes", "size_id", "capacity").collect()}  # a fixed table
-    counts = stage(token_counts(texts(spark, root, "documents", "doc_id", "text"), "doc_id", "text"), "tokens")
+    # the vocabulary file must lie at one path on all executors; the setting names another path
+    ranks = spark.conf.get("spark.veritrail.tokenizer", RANKS)
+    counts = stage(token_counts(texts(spark, root, "documents", "doc_id", "text"), "doc_id", "text", ranks), "tokens")
     return packed(counts, "doc_id", sizes)
 
 
