@@ -48,3 +48,4 @@ def test_rows_and_kept_dictionary(spark, rows, tmp_path):
     assert rows(normalised_instants(df, kept)) == want
     assert spark.read.parquet(kept).count() == len({(r, x, z) for _, _, r, x, z, _ in data if r is not None}) > size
     assert rows(normalised_instants(spark.createDataFrame([], schema))) == []
+    assert rows(normalised_instants(spark.createDataFrame([], schema), str(tmp_path / "none"))) == []

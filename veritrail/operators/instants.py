@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veritrail.operators.shared import lookup, stage
 
+#: Version of the rules below; a persisted dictionary belongs to one.
+PARSER = "1"
 MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 LONG_MONTHS = dict(zip("january february march april may june july august september october november december".split(), range(1, 13)))
 WEEKDAYS = "(?:mon|tue|tues|wed|wednes|thu|thur|thurs|fri|sat|satur|sun)(?:day)?"
@@ -190,7 +192,7 @@ def extend_dictionary(spark: SparkSession, writings: DataFrame, kept: str | None
     if there:
         old = spark.read.schema(parse).parquet(kept)
         fresh = fresh.join(old, match(fresh, old), "left_anti")
-    fresh.mapInPandas(_parse_batches, parse).write.mode("append").parquet(kept)
+    fresh.repartition(*keys).mapInPandas(_parse_batches, parse).write.mode("append").parquet(kept)
     known = spark.read.schema(parse).parquet(kept).dropDuplicates(keys)
     return counted.join(known, match(counted, known)).select(counted["raw"], counted["locale"], counted["zone"], "_n", "utc_us")
 

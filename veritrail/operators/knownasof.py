@@ -171,8 +171,9 @@ def known_at(
     )
     times, known_facts = stage(times, "event-times"), stage(known_facts, "known-facts")
     # entities above slab_rows: at most all rows / slab_rows of them, so they can be broadcast
-    sizes = known_facts.select("_e").unionAll(times.select("_e")).groupBy("_e").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > slab_rows)
-    most = sizes.agg(F.max("_rows")).first()[0] or 0
+    counted = known_facts.select("_e").unionAll(times.select("_e")).groupBy("_e").agg(F.count("*").alias("_rows"))
+    most, total = (n or 0 for n in counted.agg(F.max("_rows"), F.sum("_rows")).first())
+    sizes = counted.filter(F.col("_rows") > slab_rows)
     cuts = max(1, -(-most // slab_rows))
     points = known_facts.select("_e", F.col("_begin").alias("_t")).unionAll(times.select("_e", "_t")).join(F.broadcast(sizes), "_e")
     quantiles = F.percentile_approx("_t", F.array(*(F.lit(i / cuts) for i in range(1, cuts + 1))), max(10_000, 10 * cuts))
@@ -195,7 +196,8 @@ def known_at(
         .agg(F.max("_f").alias("_f"))
         .select("_e", "_slab", "_f.*")
     )
-    shards = width(spread.sparkSession) * 4
+    # a shard holds about slab_rows rows, as a slab does, however many there are
+    shards = max(width(spark) * 4, -(-total // slab_rows))
     shard = F.pmod(F.xxhash64("_e", "_slab"), F.lit(shards)).cast("int").alias("_shard")
     left = edges.unionByName(covers).select(shard, F.concat("_e", F.lit("#"), "_slab").alias("_e"), "_from", "_id", "_known", "_to", "_to_known")
     right = placed.select(shard, F.concat("_e", F.lit("#"), "_slab").alias("_e"), "_t")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veritrail.operators.history import attribute_history, entity_states
-from veritrail.operators.instants import normalised_instants
+from veritrail.operators.instants import PARSER, normalised_instants
 from veritrail.operators.intervals import periods_and_gaps
 from veritrail.operators.knownasof import known_at
 from veritrail.operators.references import broken_references, orphan_report
+from veritrail.operators.shared import shared_dir
 from veritrail.sources.tables import table
 
 KEYS = ["corpus", "subject", "predicate"]
@@ -42,7 +43,8 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
         table(spark, root, name, key, raw, "locale_tag", "tz_name").select(F.lit(name).alias("src"), F.col(key).alias("rec_id"), F.col(raw).alias("raw"), F.col("locale_tag").alias("locale"), F.col("tz_name").alias("zone"))
         for name, key, raw in parts
     ]
-    return normalised_instants(rows[0].unionByName(rows[1]).unionByName(rows[2]))
+    # the dictionary outlives the run: what was parsed once is never parsed again
+    return normalised_instants(rows[0].unionByName(rows[1]).unionByName(rows[2]), kept=f"{shared_dir(spark)}/instants-{PARSER}")
 
 
 def _broken(spark: SparkSession, root: str) -> DataFrame:
