@@ -204,24 +204,21 @@ def passage_lengths(text: Column, words: int) -> Column:
 def _blocks(items: DataFrame, words: int, q: int, edits: int) -> Iterator[ItemIndex]:
     """``items`` (key, text, shortest) as indexes of at most about ``BLOCK_CHARS`` characters each.
 
-    Grams are as long as the shortest passage of their class allows, at most ``q``.
+    Texts with much shorter passages than grams of ``q`` ask for are apart; the grams of a block are
+    as long as its shortest passage allows, at most ``q``.
     """
-    ladder = sorted({q, max(2, q * 2 // 3), max(2, q // 2), 2}, reverse=True)
-    above = None
-    for size in ladder:
-        fits = F.col("shortest") >= size * (1 + edits)
-        mine = items.filter(fits if above is None else fits & (F.col("shortest") < above * (1 + edits)))
-        above = size
+    apart = q * 2 // 3 * (1 + edits)
+    for mine in (items.filter(F.col("shortest") >= apart), items.filter(F.col("shortest") < apart)):
         keys, texts, held = [], [], 0
         for row in mine.select("key", "text").toLocalIterator():
             keys.append(row[0])
             texts.append(row[1])
             held += len(row[1])
             if held >= BLOCK_CHARS:
-                yield ItemIndex(keys, texts, words, size, edits)
+                yield ItemIndex(keys, texts, words, q, edits)
                 keys, texts, held = [], [], 0
         if keys:
-            yield ItemIndex(keys, texts, words, size, edits)
+            yield ItemIndex(keys, texts, words, q, edits)
 
 
 def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, words: int = 13, q: int = 24, edits: int = 1) -> DataFrame:
