@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from veritrail.functions import evaluation as ev
 from veritrail.functions import text as tx
-from veritrail.operators import audit, claims, conversation, evidence, graph, lexical, names, reconcile, screening
+from veritrail.operators import audit, claims, conversation, evidence, gate, graph, lexical, names, reconcile, screening
 from veritrail.operators.shared import stage
 from veritrail.sources.tables import table, texts
 
@@ -247,7 +247,7 @@ def rejections_topn(spark, root):
 
 def explain_fact(spark, root):
     facts = _facts(spark, root)
-    return audit.explained(facts, table(spark, root, "sessions"), _verdicts(spark, root), stage(reconcile_edges(spark, root), "edges"))
+    return audit.explained(facts, table(spark, root, "turns"), table(spark, root, "sessions"), _verdicts(spark, root), stage(reconcile_edges(spark, root), "edges"))
 
 
 def policy_screen(spark, root):
@@ -298,15 +298,76 @@ def citation_membership(spark, root):
     return cited.join(good, "fact_id", "left").groupBy("verdict_id").agg(F.count("*").alias("cited"), F.count("good").alias("warrantable"))
 
 
+def _replies(spark, root):
+    """Every stored verdict as the reply it came from: verdict_id, provider, reply."""
+    rows = _verdicts(spark, root)
+    reply = F.to_json(F.struct("answer", "citations", (F.col("abstained_because") != "insufficient").alias("sufficient"), "kind"))
+    return rows.select(F.col("verdict_id").alias("id"), F.when(F.col("abstained_because") == "model-unavailable", "provider_unavailable").alias("provider"), reply.alias("reply"))
+
+
+def _warrants(spark, root):
+    """The evidence a verdict could lean on: what was known then and may be cited, of those it asks about or cites."""
+    good = _facts(spark, root).filter(F.col("status").isin("active", "superseded") & (F.col("trank") >= 1)).select("fact_id", "corpus", "subj", "pred", "text", "ing")
+    asked = _verdicts(spark, root).filter(F.col("abstained_because") != "no-evidence")
+    steps = table(spark, root, "walkthrough", "step_id", "subj", F.col("pred").alias("asked_pred"))
+    about = asked.join(steps, "step_id").select("verdict_id", "corpus", "subj", "asked_pred", "ts").join(good, ["corpus", "subj"]).filter(F.col("ing") <= F.col("ts")).select("verdict_id", "fact_id", "text", (F.col("pred") == F.col("asked_pred")).alias("slot"))
+    cited = asked.select("verdict_id", "ts", F.explode("citations").alias("fact_id")).join(good, "fact_id").filter(F.col("ing") <= F.col("ts")).select("verdict_id", "fact_id", "text", F.lit(False).alias("slot"))
+    return about.unionByName(cited).groupBy(F.col("verdict_id").alias("id"), "fact_id", "text").agg(F.max("slot").alias("slot"))
+
+
+def _decided(spark, root):
+    warrants = stage(_warrants(spark, root), "warrants")
+    # the one fact that fills the asked slot may be quoted where no model is there
+    alone = warrants.filter("slot").groupBy("id").agg(F.count("*").alias("n"), F.min("fact_id").alias("fact_id"), F.min("text").alias("text")).filter("n = 1").drop("n")
+    citations = _verdicts(spark, root).select(F.col("verdict_id").alias("id"), "answer", F.explode("citations").alias("fact_id")).filter(F.col("fact_id").isNotNull())
+    return gate.decided(_replies(spark, root), warrants, gate.carried(citations, _facts(spark, root)), alone), warrants
+
+
 def gate_checks(spark, root):
-    members = citation_membership(spark, root)
-    rows = _verdicts(spark, root).select("verdict_id", "answered", "answer", "verified", "kind").join(members, "verdict_id", "left")
-    failed = (
-        F.when(~F.col("answered"), "sufficient").when(F.coalesce("cited", F.lit(0)) == 0, "citations_present").when(F.col("warrantable") < F.col("cited"), "citations_in_warrant")
-        .when(F.trim(F.coalesce("answer", F.lit(""))) == "", "answer_text").when(tx.declines("answer"), "answer_not_refusal").when(F.col("verified") == 0, "citations_supported")
-    )
-    reason = F.when(failed.isin("sufficient", "answer_not_refusal"), "insufficient-evidence").when(failed == "citations_present", "no-citations").when(failed == "citations_in_warrant", "invented-citation").when(failed == "answer_text", "malformed-response").when(failed == "citations_supported", "unverified-citation")
-    return rows.select("verdict_id", failed.alias("failed_check"), reason.alias("reason"))
+    rows, _ = _decided(spark, root)
+    ids = F.array_join(F.transform("citations", lambda c: c.cast("string")), ";")
+    return rows.select(F.col("id").alias("verdict_id"), "answered", "answer", ids.alias("citations"), "failed_check", "abstained_because", F.array_join("checks", "|").alias("checks"), "verified", "kind")
+
+
+def abstention_texts(spark, root):
+    rows, warrants = _decided(spark, root)
+    steps = table(spark, root, "walkthrough", "step_id", "subj", "pred")
+    held = _facts(spark, root).filter(F.col("status") == "quarantined").groupBy("corpus", "subj").agg(F.count("*").alias("refused"))
+    searched = _verdicts(spark, root).select("verdict_id", "corpus", "step_id").join(steps, "step_id", "left").join(held, ["corpus", "subj"], "left")
+    return gate.abstentions(rows, searched.select(F.col("verdict_id").alias("id"), F.array("subj", "pred").alias("terms"), "refused"), warrants).select(F.col("id").alias("verdict_id"), "text")
+
+
+def gate_explain(spark, root):
+    """Verdicts on the chosen questions: every fact of their evidence, cited or only considered."""
+    found = warrant_rank(spark, root).join(_facts(spark, root).select("fact_id", "vfrom", "vto"), "fact_id")
+    rows = _verdicts(spark, root).join(_questions(spark, root).select("step_id"), "step_id", "left_semi")
+    evidence_of = rows.select(F.col("verdict_id").alias("id"), "step_id").join(found, "step_id").drop("step_id")
+    return gate.explained_citations(rows.select(F.col("verdict_id").alias("id"), "citations"), evidence_of).withColumnRenamed("id", "verdict_id")
+
+
+def _recorded(spark, root):
+    steps = table(spark, root, "walkthrough", "step_id", "question", F.col("as_of_epoch").alias("as_of"), F.array("subj").alias("names"))
+    asked = _verdicts(spark, root).select(F.col("verdict_id").alias("id"), "corpus", "step_id").join(steps, "step_id", "left").drop("step_id")
+    return audit.recorded(_verdicts(spark, root).withColumnRenamed("verdict_id", "id").drop("corpus"), asked, _warrants(spark, root))
+
+
+def audit_queries(spark, root):
+    return _recorded(spark, root)["queries"]
+
+
+def audit_answers(spark, root):
+    return _recorded(spark, root)["answers"]
+
+
+def audit_edges(spark, root):
+    return _recorded(spark, root)["edges"]
+
+
+def retract_facts(spark, root):
+    """Facts after the owner's refusals took their targets back."""
+    rank = F.array_position(F.array(*(F.lit(t) for t in conversation.TIERS)), F.col("tier")) - 1
+    orders = table(spark, root, "rejections").select(F.col("target_fact_id").alias("fact_id"), rank.alias("rank"), "reason", "ts").filter(F.coalesce("fact_id", F.lit(0)) != 0)
+    return audit.retracted(_facts(spark, root).select("fact_id", "status", "qreason", "vfrom", "vto"), orders)
 
 
 def _records(spark, root):
@@ -409,7 +470,7 @@ QUERIES = {
         entity_normalize, canonical_keys, stable_ids, fact_dedupe_merge, first_seen, claims_merged, reconcile_edges, reconcile_contradict, reconcile_refusals, claim_confidence, validity_intervals, current_facts,
         lineage_depth, facts_as_of, corroboration_degree, entity_exact_prefix, alias_fold, graph_edges, paths_bounded, anchor_expand, neighbourhood, warrant_rank,
         orphans, dangling_edges, leaked_citations, integrity_report, history_topn, rejections_topn, explain_fact, policy_screen, policy_rules, admission_decisions,
-        condemned_facts, identity_claims, tier_floor_matrix, citation_membership, gate_checks, qa_scorecard, poison_scorecard, dataset_stats, fallback_judge,
+        condemned_facts, identity_claims, tier_floor_matrix, citation_membership, gate_checks, abstention_texts, gate_explain, audit_queries, audit_answers, audit_edges, retract_facts, qa_scorecard, poison_scorecard, dataset_stats, fallback_judge,
         abstention_detect, stratified_sample, citation_changes, upsert_facts, extractive_gate, rules_extract, predicate_normalize, ingest_report, walkthrough_check, evidence_lines, paths_between,
     )
 }

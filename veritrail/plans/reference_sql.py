@@ -254,21 +254,10 @@ SELECT *, orphans = 0 AND dangling = 0 AND leaked = 0 AS ok FROM counts""",
     "history_topn": f"WITH {_VERDICTS} SELECT verdict_id, question, answered, ts FROM verdicts_u LEFT JOIN walkthrough USING (step_id) ORDER BY ts DESC, verdict_id LIMIT 20",
     "rejections_topn": f"""WITH {_TURNS}, r AS (SELECT * FROM rejections QUALIFY row_number() OVER (PARTITION BY rejection_id ORDER BY ts) = 1)
 SELECT rejection_id, rule_id, turn_role, r.ts FROM r LEFT JOIN turns_u USING (turn_id) ORDER BY r.ts DESC, rejection_id LIMIT 50""",
-    "explain_fact": f"""WITH RECURSIVE {_CLAIMS}, {_VERDICTS}, {_CITED}
-SELECT f.fact_id, f.status, s.title, array_to_string(list_sort(list_distinct(list_filter(f.mentions, lambda m: m IS NOT NULL))), '; ') AS mentions, o.dst AS supersedes, n.src AS superseded_by, coalesce(c.k, 0) AS cited_by
-FROM facts_u f LEFT JOIN sessions s ON s.corpus = f.corpus AND s.sid = f.sid
-LEFT JOIN edges_ o ON o.rel = 'SUPERSEDES' AND o.src = f.fact_id LEFT JOIN edges_ n ON n.rel = 'SUPERSEDES' AND n.dst = f.fact_id
-LEFT JOIN (SELECT fact_id, count(*) AS k FROM cited GROUP BY fact_id) c ON c.fact_id = f.fact_id""",
     "tier_floor_matrix": """SELECT CAST(a AS INTEGER) AS rank, CAST(b AS INTEGER) AS target, op, NOT (op <> 'assert' AND a < b) AS admitted
 FROM range(4) x(a), range(4) y(b), (VALUES ('assert'), ('contradict'), ('retract'), ('supersede')) o(op)""",
     "citation_membership": f"""WITH {_FACTS}, {_VERDICTS}, c AS (SELECT DISTINCT verdict_id, fact_id FROM (SELECT verdict_id, unnest(citations) AS fact_id FROM verdicts_u) WHERE fact_id IS NOT NULL)
 SELECT verdict_id, count(*) AS cited, count(*) FILTER (WHERE status IN ('active', 'superseded') AND trank >= 1) AS warrantable FROM c LEFT JOIN facts_u USING (fact_id) GROUP BY verdict_id""",
-    "gate_checks": f"""WITH {_FACTS}, {_VERDICTS}, c AS (SELECT DISTINCT verdict_id, fact_id FROM (SELECT verdict_id, unnest(citations) AS fact_id FROM verdicts_u) WHERE fact_id IS NOT NULL),
-k AS (SELECT verdict_id, count(*) AS cited, count(*) FILTER (WHERE status IN ('active', 'superseded') AND trank >= 1) AS good FROM c LEFT JOIN facts_u USING (fact_id) GROUP BY verdict_id),
-t AS (SELECT v.verdict_id, CASE WHEN NOT answered THEN 'sufficient' WHEN coalesce(cited, 0) = 0 THEN 'citations_present' WHEN good < cited THEN 'citations_in_warrant'
-  WHEN trim(coalesce(answer, '')) = '' THEN 'answer_text' WHEN {_declines('answer')} THEN 'answer_not_refusal' WHEN verified = 0 THEN 'citations_supported' END AS failed_check FROM verdicts_u v LEFT JOIN k ON k.verdict_id = v.verdict_id)
-SELECT verdict_id, failed_check, CASE WHEN failed_check IN ('sufficient', 'answer_not_refusal') THEN 'insufficient-evidence' WHEN failed_check = 'citations_present' THEN 'no-citations'
-  WHEN failed_check = 'citations_in_warrant' THEN 'invented-citation' WHEN failed_check = 'answer_text' THEN 'malformed-response' WHEN failed_check = 'citations_supported' THEN 'unverified-citation' END AS reason FROM t""",
     "qa_scorecard": f"""WITH {_VERDICTS}, r AS (SELECT model, must_cite_sessions IS NULL AS off, NOT answered AS no, answered AND verified > 0 AS yes, latency_ms FROM verdicts_u LEFT JOIN walkthrough USING (step_id)),
 s AS (SELECT model, count(*) AS n, count_if(NOT off) AS answerable, count_if(off) AS abstention_items, count_if(NOT off AND yes) AS a, count_if(no) AS d, count_if(off AND no) AS e, count_if(off AND NOT no AND NOT yes) AS h, count_if(NOT off AND no) AS o, avg(CASE WHEN latency_ms > 0 THEN latency_ms END) AS l FROM r GROUP BY model)
 SELECT model, n, answerable, abstention_items, round(a / nullif(answerable, 0), 4) AS accuracy, round(e / nullif(abstention_items, 0), 4) AS abstention_recall, round(e / nullif(d, 0), 4) AS abstention_precision,

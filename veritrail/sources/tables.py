@@ -5,10 +5,10 @@ Every reader is lazy; filters and projections of the caller reach the parquet sc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
-def table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame:
+def table(spark: SparkSession, root: str, name: str, *columns: Column | str) -> DataFrame:
     """One parquet table under ``root``; with ``columns`` only those are read."""
     df = spark.read.parquet(f"{root}/{name}.parquet")
     return df.select(*columns) if columns else df
