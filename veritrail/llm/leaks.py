@@ -204,10 +204,11 @@ def passage_lengths(text: Column, words: int) -> Column:
 def _blocks(items: DataFrame, words: int, q: int, edits: int) -> Iterator[ItemIndex]:
     """``items`` (key, text, shortest) as indexes of at most about ``BLOCK_CHARS`` characters each.
 
-    Texts with much shorter passages than grams of ``q`` ask for are apart; the grams of a block are
-    as long as its shortest passage allows, at most ``q``.
+    The grams of a block are as long as its shortest passage allows, at most ``q``. Where there are
+    several blocks, texts with much shorter passages than ``q`` asks for are apart, so that they do
+    not shorten the grams of all others; one block is hashed once, which costs less.
     """
-    apart = q * 2 // 3 * (1 + edits)
+    apart = q * 2 // 3 * (1 + edits) if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > BLOCK_CHARS else 0
     for mine in (items.filter(F.col("shortest") >= apart), items.filter(F.col("shortest") < apart)):
         keys, texts, held = [], [], 0
         for row in mine.select("key", "text").toLocalIterator():
