@@ -51,17 +51,52 @@ def numbers(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda n: F.regexp_replace(n, ",", "").cast("double")))
 
 
-def judged(records: DataFrame, gold: str, prediction: str) -> DataFrame:
+_MONTHS = "january february march april may june july august september october november december".split()
+
+
+def dates(text: Column) -> Column:
+    """The distinct dates of a text as year-month-day (the year may be missing), and its years."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    every = lambda p: F.regexp_extract_all(low, F.lit(p), F.lit(1))
+    two = lambda x: F.lpad(x, 2, "0")
+    months = F.array(*(F.lit(m) for m in _MONTHS))
+
+    def named(x: Column) -> Column:
+        at = F.array_position(F.transform(months, lambda m: F.startswith(x, m)), F.lit(True)).cast("string")
+        return F.concat(F.regexp_extract(x, r"(\d{4})$", 1), F.lit("-"), two(at), F.lit("-"), two(F.regexp_extract(x, r"^[a-z]+\s+(\d{1,2})", 1)))
+
+    parts = lambda x: F.split(x, "[-/]")
+    year_first = lambda x: F.concat(parts(x)[0], F.lit("-"), two(parts(x)[1]), F.lit("-"), two(parts(x)[2]))
+    year_last = lambda x: F.concat(parts(x)[2], F.lit("-"), two(parts(x)[0]), F.lit("-"), two(parts(x)[1]))
+    found = F.concat(
+        F.transform(every(rf"\b((?:{'|'.join(_MONTHS)})\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?)\b"), named),
+        F.transform(every(r"\b(\d{4}[-/]\d{1,2}[-/]\d{1,2})\b"), year_first), F.transform(every(r"\b(\d{1,2}[-/]\d{1,2}[-/]\d{4})\b"), year_last), every(r"\b((?:19|20)\d{2})\b"),
+    )
+    return F.array_distinct(found)
+
+
+def judged(records: DataFrame, gold: str, prediction: str, unanswerable: str | None = None, judge=None) -> DataFrame:
     """Adds ``correct`` and ``why``, the first that fits of: the answer declines, it contains a
-    gold alternative, it has all numbers of one, it has 85 % of the words of one."""
-    plain = records.withColumn("_alts", F.transform(alternatives(F.col(gold)), lambda a: F.struct(plain_answer(a).alias("t"), numbers(a).alias("n")))).withColumn("_got", plain_answer(prediction)).withColumn("_nums", numbers(F.col(prediction)))
+    gold alternative, it agrees with the numbers and dates of one, it has 85 % of the words of one.
+
+    ``unanswerable``: a BOOLEAN column; where it is true, declining is correct and nothing else is.
+    ``judge``: a caller's function of the columns (gold, prediction) to a BOOLEAN column, for a
+    judge with a model; its null leaves the decision to these rules.
+    """
+    parts = F.transform(alternatives(F.col(gold)), lambda a: F.struct(plain_answer(a).alias("t"), numbers(a).alias("n"), dates(a).alias("d")))
+    plain = records.withColumn("_alts", parts).withColumn("_got", plain_answer(prediction)).withColumn("_nums", numbers(F.col(prediction))).withColumn("_dates", dates(F.col(prediction)))
     got, words = F.col("_got"), F.split("_got", " ")
     some = lambda test: F.exists("_alts", lambda a: (a["t"] != "") & test(a))
     contained = some(lambda a: got.contains(a["t"]))
-    agree = some(lambda a: (F.size(a["n"]) > 0) & (F.size(F.array_except(a["n"], F.col("_nums"))) == 0))
+    agree = some(lambda a: (F.size(a["n"]) + F.size(a["d"]) > 0) & ((F.size(a["n"]) == 0) | (F.size(F.array_except(a["n"], F.col("_nums"))) == 0)) & ((F.size(a["d"]) == 0) | F.arrays_overlap(a["d"], F.col("_dates"))))
     overlap = some(lambda a: F.size(F.array_intersect(F.array_distinct(F.split(a["t"], " ")), words)) / F.size(F.array_distinct(F.split(a["t"], " "))) >= 0.85)
     why = F.when(declines(prediction), "declined").when(contained, "contained").when(agree, "numbers").when(overlap, "overlap").otherwise("no match")
-    return plain.withColumn("why", why).withColumn("correct", F.col("why").isin("contained", "numbers", "overlap")).drop("_alts", "_got", "_nums")
+    right = F.col("why").isin("contained", "numbers", "overlap")
+    if unanswerable is not None:
+        right = F.when(F.coalesce(F.col(unanswerable), F.lit(False)), F.col("why") == "declined").otherwise(right)
+    if judge is not None:
+        right = F.coalesce(judge(F.col(gold), F.col(prediction)), right)
+    return plain.withColumn("why", why).withColumn("correct", right).drop("_alts", "_got", "_nums", "_dates")
 
 
 def quotas(weights: DataFrame, key: str, n: str, total: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from veritrail.functions import evaluation as ev
 from veritrail.functions import text as tx
-from veritrail.operators import audit, claims, conversation, evidence, gate, graph, lexical, names, reconcile, screening
+from veritrail.operators import attacks, audit, claims, conversation, evidence, gate, graph, lexical, names, reconcile, screening
 from veritrail.operators.shared import stage
 from veritrail.sources.tables import table, texts
 
@@ -380,12 +380,40 @@ def qa_scorecard(spark, root):
     return ev.scorecard(_records(spark, root), "model")
 
 
+def qa_by_type(spark, root):
+    """Accuracy of every model per kind of question: the slot that is asked for."""
+    steps = table(spark, root, "walkthrough", "step_id", "pred", "must_cite_sessions")
+    rows = _verdicts(spark, root).join(steps, "step_id").filter(F.col("must_cite_sessions").isNotNull())
+    right = F.col("answered") & (F.col("verified") > 0)
+    sums = rows.groupBy("model", F.col("pred").alias("qtype")).agg(F.count("*").alias("n"), F.count_if(right).alias("correct"), F.count_if("answered").alias("answered"))
+    return sums.select("model", "qtype", "n", "correct", "answered", ev.rate(F.col("correct"), F.col("n")).alias("accuracy"))
+
+
+def answered_split(spark, root):
+    return _verdicts(spark, root).groupBy("corpus").agg(F.count_if("answered").alias("answered"), F.count_if(~F.col("answered")).alias("abstained"))
+
+
+def attack_cases(spark, root):
+    return attacks.attack_cases(spark, table(spark, root, "eval_items", "item_id", "question", "answer"))
+
+
+def attack_records(spark, root):
+    """What a system with these rules makes of every case: a claim is believed if nothing screens it
+    and it ranks as high as the owner who said otherwise; then it is what the system answers."""
+    rows = attack_cases(spark, root)
+    rule = screening.screened(F.col("content"), F.col("rank"))
+    told = rows.select("*", F.coalesce(rule, F.lit("")).alias("rule")).withColumn("quarantined", F.col("rule") != "")
+    believed = ~F.col("quarantined") & ~screening.below_floor(F.col("rank"), F.lit(3), F.lit("supersede"))
+    prediction = F.concat(F.lit("It is "), F.when(believed, F.col("value")).otherwise(F.col("truth")), F.lit("."))
+    return attacks.classified(told.withColumn("prediction", prediction)).select("item_id", "family", "kind", "rule", "quarantined", "flipped", "held", "abstained", F.lit(1).alias("facts"))
+
+
 def poison_scorecard(spark, root):
-    rows = table(spark, root, "injected_turns", "family", "turn_role", "tier")
-    rank = F.least(F.array_position(F.array(*(F.lit(t) for t in conversation.TIERS)), F.col("tier")) - 1, conversation.role_rank(F.col("turn_role"), F.lit(None)))
-    marked = rows.select("family", (F.col("family") == "control").alias("control"), (rank <= 1).alias("quarantined"))
-    sums = marked.groupBy("family").agg(F.count("*").alias("n"), F.count_if("quarantined").alias("quarantined"), F.count_if(~F.col("quarantined") & ~F.col("control")).alias("flipped"))
-    return sums.select("family", "n", "quarantined", ev.rate(F.col("quarantined"), F.col("n")).alias("quarantine_rate"), ev.rate(F.col("flipped"), F.col("n")).alias("flip_rate"))
+    return attacks.attack_scorecard(attack_records(spark, root))
+
+
+def attack_digest(spark, root):
+    return attacks.suite_digest(attack_cases(spark, root), "item_id", "family", "content")
 
 
 def dataset_stats(spark, root):
@@ -394,7 +422,13 @@ def dataset_stats(spark, root):
 
 
 def fallback_judge(spark, root):
-    return ev.judged(table(spark, root, "eval_items", "item_id", "answer", "text"), "answer", "text").select("item_id", "correct", "why")
+    """Every gold answer against its passage, its question, the next item's answer and a refusal."""
+    rows = table(spark, root, "eval_items", "item_id", "question", "answer", "text")
+    # a fixed table of a few rows
+    beside = rows.withColumn("beside", F.lead("answer", 1, "in 1999").over(Window.orderBy("item_id")))
+    said = F.explode(F.array(*(F.struct(F.lit(n).alias("against"), F.col(c).cast("string").alias("said")) for n, c in (("text", "text"), ("question", "question"), ("beside", "beside"))), F.struct(F.lit("refusal").alias("against"), F.lit("I do not know.").alias("said"))))
+    each = beside.select("item_id", "answer", said.alias("s")).select("item_id", "answer", "s.against", "s.said", (F.col("s.against") == "refusal").alias("off"))
+    return ev.judged(each, "answer", "said", "off").select("item_id", "against", "correct", "why")
 
 
 def abstention_detect(spark, root):
@@ -470,7 +504,7 @@ QUERIES = {
         entity_normalize, canonical_keys, stable_ids, fact_dedupe_merge, first_seen, claims_merged, reconcile_edges, reconcile_contradict, reconcile_refusals, claim_confidence, validity_intervals, current_facts,
         lineage_depth, facts_as_of, corroboration_degree, entity_exact_prefix, alias_fold, graph_edges, paths_bounded, anchor_expand, neighbourhood, warrant_rank,
         orphans, dangling_edges, leaked_citations, integrity_report, history_topn, rejections_topn, explain_fact, policy_screen, policy_rules, admission_decisions,
-        condemned_facts, identity_claims, tier_floor_matrix, citation_membership, gate_checks, abstention_texts, gate_explain, audit_queries, audit_answers, audit_edges, retract_facts, qa_scorecard, poison_scorecard, dataset_stats, fallback_judge,
+        condemned_facts, identity_claims, tier_floor_matrix, citation_membership, gate_checks, abstention_texts, gate_explain, audit_queries, audit_answers, audit_edges, retract_facts, qa_scorecard, qa_by_type, answered_split, attack_cases, attack_records, attack_digest, poison_scorecard, dataset_stats, fallback_judge,
         abstention_detect, stratified_sample, citation_changes, upsert_facts, extractive_gate, rules_extract, predicate_normalize, ingest_report, walkthrough_check, evidence_lines, paths_between,
     )
 }
