@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from veritrail.functions.text import content_words, entity_key, predicate_key, stem
 from veritrail.operators.graph import ANCHOR_RELS, RETRIEVAL_RELS, entity_node, expand, fact_node
-from veritrail.operators.lexical import search
+from veritrail.operators.lexical import Index, search, search_index
 from veritrail.operators.shared import stage
 
 #: Weights of the blended score.
@@ -34,7 +34,7 @@ def quotable(found: DataFrame, questions: DataFrame, facts: DataFrame, floor: fl
     return joined.filter(F.size(F.array_intersect("wanted", "held")) / F.size("wanted") >= coverage).select("step_id", "fact_id")
 
 
-def evidence(questions: DataFrame, facts: DataFrame, turns: DataFrame, edges: DataFrame, corroboration: DataFrame, single: DataFrame, k: int = 64, floor: float = 0.05, named: DataFrame | None = None) -> DataFrame:
+def evidence(questions: DataFrame, facts: DataFrame, turns: DataFrame, edges: DataFrame, corroboration: DataFrame, single: DataFrame, k: int = 64, floor: float = 0.05, named: DataFrame | None = None, index: Index | None = None) -> DataFrame:
     """Ranked evidence per question: step_id, fact_id, rank, score, hops, lexical, chain.
 
     ``questions``: step_id, corpus, question, subj, as_of_epoch (null: now). ``single``: pred, the
@@ -42,12 +42,14 @@ def evidence(questions: DataFrame, facts: DataFrame, turns: DataFrame, edges: Da
     steps over mentions, turns, supersessions and corroborations, the 24 best facts by BM25, and four steps around the two best of these. A candidate of a
     single-valued slot becomes the fact of its slot that held at the asked time; retracted and
     quarantined facts and those below tool rank are left out. Only facts of the question's corpus
-    are candidates. A question without any has no row. ``chain`` is the way on which a candidate was
+    are candidates. A question without any has no row. ``index``: the stored index of the texts of
+    the facts (``fact_texts``); without it they are read. ``chain`` is the way on which a candidate was
     reached first (fewest hops, then text order), with the step to the fact that took its place.
     """
     known = stage(facts.dropDuplicates(["fact_id"]), "evidence-facts")
     asked = questions.select("step_id", "corpus", "question", "subj", "as_of_epoch")
-    hits = stage(search(fact_texts(known, turns), asked, "corpus", "fact_id", "body", "step_id", "question", 24), "hits")
+    found = search(fact_texts(known, turns), asked, "corpus", "fact_id", "body", "step_id", "question", 24) if index is None else search_index(index, asked, "step_id", "question", 24)
+    hits = stage(found, "hits")
     own = asked.select("step_id", F.col("corpus").alias("own"))
     as_fact = lambda df: df.filter(F.col("node").startswith("fact:")).select(F.col("seed").alias("step_id"), F.substring("node", 6, 40).cast("long").alias("fact_id"), "hops", "path")
     seeds = asked.filter(F.col("subj").isNotNull()).select(F.col("step_id").alias("seed"), entity_node("corpus", "subj").alias("node"))

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -68,6 +72,46 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@lru_cache(maxsize=1)
+def _code() -> str:
+    """A hash of this package's source: what older code derived is not taken for what this would."""
+    root = Path(__file__).resolve().parent.parent
+    return hashlib.sha256(b"".join(p.read_bytes() for p in sorted(root.rglob("*.py")))).hexdigest()[:12]
+
+
+def fingerprint(*sources: DataFrame) -> str:
+    """A hash of the files that ``sources`` read: their paths, lengths and times of change."""
+    spark = sources[0].sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    said = []
+    for source in sources:
+        for name in sorted(source.inputFiles()):
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+            status = path.getFileSystem(conf).getFileStatus(path)
+            said.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(said).encode()).hexdigest()[:24]
+
+
+def derived_path(name: str, *sources: DataFrame) -> tuple[str, bool]:
+    """Where a table that is derived from ``sources`` is kept in the shared folder, and if it is there whole.
+
+    The path names the files it is derived from and the code that does it, so a change of either
+    makes another table; readers never meet one that is out of date.
+    """
+    spark = sources[0].sparkSession
+    path = f"{shared_dir(spark)}/{name}-{_code()}-{fingerprint(*sources)}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return path, done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
+def derived(name: str, build: Callable[[], DataFrame], *sources: DataFrame) -> DataFrame:
+    """The table that ``build`` derives from ``sources``: made once, then read while these stay as they are."""
+    path, there = derived_path(name, *sources)
+    if not there:
+        build().write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return sources[0].sparkSession.read.parquet(path)
+
+
 def in_range_order(df: DataFrame, *cols: str) -> DataFrame:
     """Rows in global order of ``cols``: range-partitioned, then sorted inside each partition."""
     return df.repartitionByRange(width(df.sparkSession), *cols).sortWithinPartitions(*cols)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from veritrail.functions import evaluation as ev
 from veritrail.functions import text as tx
 from veritrail.operators import attacks, audit, claims, conversation, evidence, gate, graph, lexical, names, reconcile, screening
-from veritrail.operators.shared import stage
+from veritrail.operators.shared import derived, derived_path, stage
 from veritrail.sources.tables import table, texts
 
 AS_OF = 1_735_689_600  # 2025-01-01 UTC
@@ -42,7 +43,22 @@ def tokenize_stem(spark, root):
     return lexical.term_statistics(postings_build(spark, root), "corpus")
 
 
+def _index(spark, root):
+    """The stored index of all facts' texts; it is written again when facts or turns have changed."""
+    facts, turns = table(spark, root, "facts"), table(spark, root, "turns")
+    path, _ = derived_path("postings", facts, turns)
+    try:
+        return lexical.Index(spark, path)
+    except AnalysisException:  # it is not there, or not whole
+        return lexical.store(evidence.fact_texts(_facts(spark, root), _turns(spark, root)), "corpus", "fact_id", "body", path)
+
+
 def bm25_topk(spark, root):
+    return lexical.search_index(_index(spark, root), _questions(spark, root), "step_id", "question")
+
+
+def bm25_unindexed(spark, root):
+    """The same without an index: the texts are read, but only tokens that a question asks for are counted."""
     body = evidence.fact_texts(_facts(spark, root), _turns(spark, root))
     return lexical.search(body, _questions(spark, root), "corpus", "fact_id", "body", "step_id", "question")
 
@@ -107,12 +123,17 @@ def reconcile_edges(spark, root):
     return reconcile.claim_edges(_claims(spark, root))
 
 
+def _links(spark, root):
+    """The edges between claims, kept while facts and predicates stay as they are."""
+    return derived("links", lambda: reconcile_edges(spark, root), table(spark, root, "facts"), table(spark, root, "predicates"))
+
+
 def reconcile_contradict(spark, root):
     return reconcile_edges(spark, root).filter(F.col("rel") == "CONTRADICTS").select(F.col("src").alias("newer"), F.col("dst").alias("standing"))
 
 
 def reconcile_refusals(spark, root):
-    return reconcile.refusals(_facts(spark, root), reconcile_edges(spark, root))
+    return reconcile.refusals(_facts(spark, root), _links(spark, root))
 
 
 def claim_confidence(spark, root):
@@ -134,7 +155,7 @@ def current_facts(spark, root):
 
 
 def lineage_depth(spark, root):
-    return reconcile.lineage(stage(reconcile_edges(spark, root), "edges"))
+    return reconcile.lineage(_links(spark, root))
 
 
 def facts_as_of(spark, root):
@@ -143,7 +164,7 @@ def facts_as_of(spark, root):
 
 
 def corroboration_degree(spark, root):
-    return reconcile.corroboration(reconcile_edges(spark, root))
+    return reconcile.corroboration(_links(spark, root))
 
 
 def entity_exact_prefix(spark, root):
@@ -160,7 +181,8 @@ def _told(spark, root):
 
 
 def _edges(spark, root):
-    return stage(_told(spark, root).unionByName(graph.claim_links(reconcile_edges(spark, root))), "edges")
+    build = lambda: _told(spark, root).unionByName(graph.claim_links(_links(spark, root)))
+    return derived("edges", build, *(table(spark, root, n) for n in ("facts", "turns", "predicates")))
 
 
 def graph_edges(spark, root):
@@ -206,9 +228,7 @@ def neighbourhood(spark, root):
 def ranked_evidence(spark, root, questions):
     """Evidence for the given steps of the walkthrough."""
     single = table(spark, root, "predicates").filter(F.col("arity") == "single")
-    links = stage(reconcile_edges(spark, root), "links")
-    edges = stage(_told(spark, root).unionByName(graph.claim_links(links)), "edges")
-    return evidence.evidence(questions, _facts(spark, root), _turns(spark, root), edges, reconcile.corroboration(links), single, named=_named(spark, root, questions))
+    return evidence.evidence(questions, _facts(spark, root), _turns(spark, root), _edges(spark, root), reconcile.corroboration(_links(spark, root)), single, named=_named(spark, root, questions), index=_index(spark, root))
 
 
 def warrant_rank(spark, root):
@@ -247,7 +267,7 @@ def rejections_topn(spark, root):
 
 def explain_fact(spark, root):
     facts = _facts(spark, root)
-    return audit.explained(facts, table(spark, root, "turns"), table(spark, root, "sessions"), _verdicts(spark, root), stage(reconcile_edges(spark, root), "edges"))
+    return audit.explained(facts, table(spark, root, "turns"), table(spark, root, "sessions"), _verdicts(spark, root), _links(spark, root))
 
 
 def policy_screen(spark, root):
@@ -265,7 +285,7 @@ def admission_decisions(spark, root):
     """Every fact as a write: one that met standing claims acts on the one of highest rank."""
     facts = _facts(spark, root)
     ranks = facts.select(F.col("fact_id").alias("dst"), F.col("trank").alias("target"))
-    met = reconcile_edges(spark, root).filter(F.col("rel") != "CORROBORATES").join(ranks, "dst").groupBy(F.col("src").alias("fact_id")).agg(F.max("target").alias("target"))
+    met = _links(spark, root).filter(F.col("rel") != "CORROBORATES").join(ranks, "dst").groupBy(F.col("src").alias("fact_id")).agg(F.max("target").alias("target"))
     op = F.when(F.col("target").isNull(), "assert").otherwise("supersede")
     decided = screening.admission(F.col("text"), F.col("obj"), F.col("trank"), F.col("subj"), F.col("pred"), F.col("target"), op)
     return facts.join(met, "fact_id", "left").select("fact_id", decided.alias("d")).select("fact_id", "d.*")
@@ -500,7 +520,7 @@ def evidence_lines(spark, root):
 QUERIES = {
     f.__name__: f
     for f in (
-        postings_build, tokenize_stem, bm25_topk, turns_tiered, turn_windows, rag_chunks, token_budget, session_turn_counts, timeline_counts, source_stats,
+        postings_build, tokenize_stem, bm25_topk, bm25_unindexed, turns_tiered, turn_windows, rag_chunks, token_budget, session_turn_counts, timeline_counts, source_stats,
         entity_normalize, canonical_keys, stable_ids, fact_dedupe_merge, first_seen, claims_merged, reconcile_edges, reconcile_contradict, reconcile_refusals, claim_confidence, validity_intervals, current_facts,
         lineage_depth, facts_as_of, corroboration_degree, entity_exact_prefix, alias_fold, graph_edges, paths_bounded, anchor_expand, neighbourhood, warrant_rank,
         orphans, dangling_edges, leaked_citations, integrity_report, history_topn, rejections_topn, explain_fact, policy_screen, policy_rules, admission_decisions,

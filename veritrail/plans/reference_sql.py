@@ -201,6 +201,7 @@ ORACLES = {
     "postings_build": f"WITH {_POSTINGS} SELECT * FROM posted",
     "tokenize_stem": f"WITH {_POSTINGS} SELECT corpus, term, count(*) AS df, sum(tf) AS occurrences FROM posted GROUP BY corpus, term",
     "bm25_topk": f"WITH {_FACTS}, {_TURNS}, {_ASKED}, {_SEARCH} SELECT * FROM hits",
+    "bm25_unindexed": f"WITH {_FACTS}, {_TURNS}, {_ASKED}, {_SEARCH} SELECT * FROM hits",
     "turns_tiered": f"""WITH {_TURNS}, ranked AS (SELECT turn_id, corpus, sid, idx, CAST(least(coalesce(trank, 0), {_ROLE}) AS INTEGER) AS rank FROM turns_u)
 SELECT *, ['external', 'tool', 'assistant', 'owner'][rank + 1] AS tier FROM ranked""",
     "turn_windows": _windows(6, 2),
