@@ -123,3 +123,21 @@ def stratified(rows: DataFrame, row_id: str, key: str, total: int, seed: int = 0
     needed = per_bucket.withColumn("_before", F.coalesce(upto, F.lit(0))).join(share.select(key, "quota"), key).filter(F.col("_before") < F.col("quota"))
     ranked = hashed.join(needed, [key, "_b"]).withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy(key, "_b").orderBy("_h", row_id)))
     return ranked.filter(F.col("_r") <= F.col("quota")).select(row_id, key)
+
+
+def sampled(rows: DataFrame, row_id: str, key: str, off: str, total: int, least: int = 8, most_share: float = 0.3, seed: int = 0) -> DataFrame:
+    """A deterministic sample of ``total`` rows that never loses the unanswerable ones: ``row_id``, ``key``, ``off``.
+
+    Rows with ``off`` get their true share of the places, at least ``least`` (which counts for at
+    most ``most_share`` of the sample); the other places go to the other rows in proportion to
+    ``key``. Too few rows of a kind leave places empty. Up to ``total`` rows are all taken.
+    """
+    part = rows.select(row_id, F.coalesce(key, F.lit("")).alias(key), F.coalesce(off, F.lit(False)).alias(off))
+    n, n_off = part.agg(F.count("*"), F.count_if(off)).first()
+    if n <= total:
+        return part
+    floor = min(least, max(1, int(total * most_share)))
+    places = min(n_off, max(floor, int(total * n_off / n + 0.5)), total)
+    declined = stratified(part.filter(off).withColumn("_one", F.lit("")), row_id, "_one", places, seed).select(row_id)
+    asked = stratified(part.filter(~F.col(off)), row_id, key, total - places, seed).select(row_id)
+    return part.join(declined.unionByName(asked), row_id, "left_semi")

@@ -460,6 +460,19 @@ def stratified_sample(spark, root):
     return ev.stratified(rows, "doc_id", "source", 200)
 
 
+def question_sample(spark, root):
+    rows = table(spark, root, "walkthrough", "step_id", "pred", F.col("must_cite_sessions").isNull().alias("off"))
+    return ev.sampled(rows, "step_id", "pred", "off", 60)
+
+
+def entities_resolved(spark, root):
+    """What every fact mentions, after folding each name onto its last word's bearer where that is one entity of the corpus."""
+    names_of = entity_normalize(spark, root).select("corpus", "norm", F.element_at(F.split("norm", " "), -1).alias("last"))
+    alone = names_of.groupBy("corpus", "last").agg(F.count("*").alias("n"), F.min("norm").alias("norm")).filter("n = 1").select("corpus", "norm", F.col("last").alias("target"))
+    found = names.resolved_names(_facts(spark, root), "fact_id", "mentions", alone)
+    return found.select("fact_id", F.array_join("names", "; ").alias("names"))
+
+
 def citation_changes(spark, root):
     at = F.struct("ts", "verdict_id", F.array_sort(F.array_distinct(F.filter(F.coalesce("citations", F.array().cast("array<bigint>")), lambda c: c.isNotNull()))).alias("c"))
     ends = _verdicts(spark, root).filter(F.col("step_id").isNotNull()).groupBy("step_id").agg(F.min(at).alias("a"), F.max(at).alias("z"), F.count("*").alias("n")).filter(F.col("n") > 1)
@@ -525,6 +538,6 @@ QUERIES = {
         lineage_depth, facts_as_of, corroboration_degree, entity_exact_prefix, alias_fold, graph_edges, paths_bounded, anchor_expand, neighbourhood, warrant_rank,
         orphans, dangling_edges, leaked_citations, integrity_report, history_topn, rejections_topn, explain_fact, policy_screen, policy_rules, admission_decisions,
         condemned_facts, identity_claims, tier_floor_matrix, citation_membership, gate_checks, abstention_texts, gate_explain, audit_queries, audit_answers, audit_edges, retract_facts, qa_scorecard, qa_by_type, answered_split, attack_cases, attack_records, attack_digest, poison_scorecard, dataset_stats, fallback_judge,
-        abstention_detect, stratified_sample, citation_changes, upsert_facts, extractive_gate, rules_extract, predicate_normalize, ingest_report, walkthrough_check, evidence_lines, paths_between,
+        abstention_detect, stratified_sample, question_sample, entities_resolved, citation_changes, upsert_facts, extractive_gate, rules_extract, predicate_normalize, ingest_report, walkthrough_check, evidence_lines, paths_between,
     )
 }

@@ -269,6 +269,17 @@ SELECT model, n, answerable, abstention_items, round(a / nullif(answerable, 0),
 e AS (SELECT source, n, floor(200 * n / pool) AS base, round(200 * n / pool - floor(200 * n / pool), 12) AS rest FROM c, t),
 q AS (SELECT source, least(n, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, source) <= 200 - (SELECT sum(base) FROM e) THEN 1 ELSE 0 END) AS quota FROM e)
 SELECT doc_id, source FROM documents JOIN q USING (source) QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('0:' || doc_id), doc_id) <= quota""",
+    "question_sample": """WITH r AS (SELECT step_id, coalesce(pred, '') AS pred, must_cite_sessions IS NULL AS off FROM walkthrough), n AS (SELECT count(*) AS n, count_if(off) AS o FROM r),
+p AS (SELECT n, least(o, greatest(8, CAST(floor(60 * o / n + 0.5) AS BIGINT)), 60) AS places FROM n), c AS (SELECT pred, count(*) AS n FROM r WHERE NOT off GROUP BY pred), t AS (SELECT sum(n) AS pool FROM c),
+e AS (SELECT pred, c.n, (60 - places) * c.n / pool AS exact FROM c, t, p), f AS (SELECT pred, n, floor(exact) AS base, round(exact - floor(exact), 12) AS rest FROM e),
+q AS (SELECT pred, least(n, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, pred) <= (SELECT 60 - places FROM p) - (SELECT sum(base) FROM f) THEN 1 ELSE 0 END) AS quota FROM f),
+a AS (SELECT step_id FROM r WHERE off QUALIFY row_number() OVER (ORDER BY md5('0:' || step_id), step_id) <= (SELECT places FROM p)),
+b AS (SELECT step_id FROM r JOIN q USING (pred) WHERE NOT off QUALIFY row_number() OVER (PARTITION BY pred ORDER BY md5('0:' || step_id), step_id) <= quota)
+SELECT * FROM r WHERE (SELECT n FROM n) <= 60 OR step_id IN (SELECT step_id FROM a UNION SELECT step_id FROM b)""",
+    "entities_resolved": f"""WITH {_FACTS}, {_NAMES}, l AS (SELECT corpus, norm, list_extract(string_split(norm, ' '), -1) AS last FROM names), alone AS (SELECT corpus, last, min(norm) AS norm FROM l GROUP BY corpus, last HAVING count(*) = 1),
+e AS (SELECT fact_id, corpus, unnest(mentions) AS m, generate_subscripts(mentions, 1) AS i FROM facts_u), k AS (SELECT fact_id, e.corpus, i, {_ek('m')} AS norm FROM e WHERE m IS NOT NULL AND {_ek('m')} <> ''),
+r AS (SELECT fact_id, min(i) AS i, coalesce(a.last, k.norm) AS norm FROM k LEFT JOIN alone a ON a.corpus = k.corpus AND a.norm = k.norm GROUP BY fact_id, coalesce(a.last, k.norm))
+SELECT fact_id, array_to_string(list(norm ORDER BY i), '; ') AS names FROM r GROUP BY fact_id""",
     "citation_changes": f"""WITH {_VERDICTS}, l AS (SELECT step_id, ts, verdict_id, list_distinct(list_filter(coalesce(citations, []), lambda c: c IS NOT NULL)) AS c FROM verdicts_u WHERE step_id IS NOT NULL),
 e AS (SELECT step_id, arg_min(c, (ts, verdict_id)) AS a, arg_max(c, (ts, verdict_id)) AS z FROM l GROUP BY step_id HAVING count(*) > 1)
 SELECT step_id, CAST(len(list_filter(z, lambda x: NOT list_contains(a, x))) AS INTEGER) AS gained, CAST(len(list_filter(a, lambda x: NOT list_contains(z, x))) AS INTEGER) AS lost FROM e""",
