@@ -37,4 +37,4 @@ def test_query(spark, root, duck, name):
 
 def test_entry(spark, root):
     df = entry.entry(spark)
-    assert df.columns == ["step_id", "fact_id", "rank", "score", "hops", "lexical"] and df.count() > 0
+    assert df.columns == ["step_id", "fact_id", "rank", "score", "hops", "lexical", "chain"] and df.count() > 0

@@ -32,6 +32,25 @@ def test_runs_and_single_keys(spark, rows):
     assert rows(found.drop("ts")) == brute(refs, parents)
 
 
+def test_keys_given_one_after_another(spark, rows, monkeypatch):
+    from veritrail.operators import references
+
+    looked, real = [], references.stage
+
+    def counting(df, tag):
+        out = real(df, tag)
+        if tag == "suspects":
+            looked.append(out.count())
+        return out
+
+    monkeypatch.setattr(references, "stage", counting)
+    parents = [(i, i * 10, "") for i in range(1, 5001)]
+    refs = [("t", "f", i, i, i * 10 + 5000, "") for i in range(1, 5001)] + [("t", "g", i, i, i * 10 - 1, "") for i in range(1, 5001, 100)] + [("t", "h", 1, 5001, 1, "")]
+    found = broken_references(spark.createDataFrame(refs, REFS), spark.createDataFrame(parents, PARENTS), "pid", "seen")
+    assert rows(found.drop("ts")) == brute(refs, parents)
+    assert looked[0] < 200  # the late ones, not all
+
+
 def test_empty_tables(spark, rows):
     none = spark.createDataFrame([], PARENTS)
     refs = spark.createDataFrame([("t", "f", 1, 5, 86_400, ""), ("t", "f", 2, None, 1, "")], REFS)

@@ -4,7 +4,9 @@ Method: the parents' integer keys are put in global range order and compressed i
 runs; the distinct referenced keys lie in the same order and are matched as-of to the run that
 starts at or before them. A key beyond that run's end is missing. Equal keys always share a range
 partition, so a run cut by a partition border loses nothing. A run carries the least and the
-greatest arrival of its keys; only where these leave it open is the key itself looked up.
+greatest arrival of its keys; only where these leave it open is the key itself looked up. Runs end
+at multiples of ``RUN``: keys that were given one after another arrive over a long time, and a run
+of all of them would leave every reference open.
 """
 
 from __future__ import annotations
@@ -18,6 +20,10 @@ from pyspark.sql import DataFrame, functions as F
 from veritrail.operators.shared import OPEN_END, lookup, stage, width
 
 
+#: A run holds at most so many keys, a power of two.
+RUN = 256
+
+
 def _as_of_runs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sorted (_id, _ref, _lo, _hi): parents with their arrival in both _lo and _hi, then the
     reference with its count and first ts there. Yields the references and what they met."""
@@ -28,12 +34,12 @@ def _as_of_runs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = ids[parent]
         lo, hi = pdf["_lo"].to_numpy()[parent], pdf["_hi"].to_numpy()[parent]
         breaks = np.ones(len(keys), dtype=bool)
-        breaks[1:] = keys[1:] != keys[:-1] + 1
+        breaks[1:] = (keys[1:] != keys[:-1] + 1) | (keys[1:] % RUN == 0)
         if run is not None:
             keys, lo, hi = np.concatenate([[run[0]], keys]), np.concatenate([[run[2]], lo]), np.concatenate([[run[3]], hi])
             breaks = np.concatenate([[True], breaks])
             if len(keys) > 1:
-                breaks[1] = keys[1] != run[1] + 1
+                breaks[1] = keys[1] != run[1] + 1 or keys[1] % RUN == 0
         at = np.flatnonzero(breaks)
         starts = keys[at]
         ends = np.concatenate([keys[at[1:] - 1], keys[-1:]]) if len(at) else keys

@@ -172,7 +172,13 @@ def entity_exact_prefix(spark, root):
 
 
 def alias_fold(spark, root):
-    return names.folded_names(entity_normalize(spark, root))
+    """Folds among all that facts speak of, objects among them, with the company a place gave its name to as a stated alias."""
+    said = table(spark, root, "facts", "corpus", "subj", F.concat(F.coalesce("mentions", F.array().cast("array<string>")), F.array("obj")).alias("mentions"))
+    known = stage(names.entity_names(said), "names")
+    # stated: two words of which the first is an entity by itself stand for that entity
+    parts = known.filter(F.size(F.split("norm", " ")) == 2).select("corpus", F.col("norm").alias("alias"), F.split("norm", " ")[0].alias("target"))
+    stated = parts.join(known.select("corpus", F.col("norm").alias("target")), ["corpus", "target"], "left_semi").select("corpus", "alias", "target")
+    return names.folded_names(known, aliases=stated)
 
 
 def _told(spark, root):
@@ -212,9 +218,10 @@ def anchor_expand(spark, root):
 
 
 def paths_between(spark, root):
-    """The ways from an asked entity to the sessions that an answer must cite."""
+    """The ways from an asked entity to the sessions in which facts about it were stated."""
     asked = _questions(spark, root)
-    targets = asked.select(F.col("step_id").alias("seed"), "corpus", F.explode("must_cite_sessions").alias("sid")).select("seed", graph.session_node("corpus", "sid").alias("node")).distinct()
+    stated = _facts(spark, root).select("corpus", "subj", "sid").filter(F.col("sid").isNotNull())
+    targets = asked.select(F.col("step_id").alias("seed"), "corpus", "subj").join(stated, ["corpus", "subj"]).select("seed", graph.session_node("corpus", "sid").alias("node")).distinct()
     return graph.between(_seeds(spark, root), targets, _edges(spark, root), graph.ANCHOR_RELS, 4, 50)
 
 

@@ -232,12 +232,16 @@ QUALIFY row_number() OVER (PARTITION BY corpus, subj, pred ORDER BY vfrom DESC,
     "claims_merged": f"WITH {_MERGED} SELECT corpus, slot_subj AS subj, slot_pred AS pred, object, fact_id, trank, conf, held_back, sessions, single FROM weighed",
     "claim_confidence": f"WITH RECURSIVE {_CLAIMS} SELECT fact_id, round(least(1.0, conf + 0.05 * coalesce(degree, 0)), 6) AS conf FROM weighed LEFT JOIN degrees USING (fact_id)",
     "entity_exact_prefix": f"WITH {_ASKED}, {_NAMED} SELECT step_id, norm, pass FROM named",
-    "alias_fold": f"""WITH {_NAMES}, proper AS (SELECT corpus, norm, string_split(norm, ' ') AS parts FROM names WHERE regexp_matches(name, '{PROPER}')),
+    "alias_fold": f"""WITH RECURSIVE every AS (SELECT corpus, unnest(list_concat(list_concat([subj], coalesce(mentions, [])), [obj])) AS name FROM facts),
+names AS (SELECT corpus, {_ek('name')} AS norm, min(trim(name)) AS name FROM every WHERE name IS NOT NULL GROUP BY 1, 2 HAVING {_ek('name')} <> ''),
+proper AS (SELECT corpus, norm, string_split(norm, ' ') AS parts FROM names WHERE regexp_matches(name, '{PROPER}')),
 heads AS (SELECT corpus, norm, cut, array_to_string(parts[1:cut], ' ') AS target FROM (SELECT *, unnest(range(1, len(parts))) AS cut FROM proper WHERE len(parts) BETWEEN 2 AND 4)),
 nearest AS (SELECT h.corpus, h.norm, h.target FROM heads h JOIN proper p ON p.corpus = h.corpus AND p.norm = h.target QUALIFY row_number() OVER (PARTITION BY h.corpus, h.norm ORDER BY cut DESC) = 1),
-a0 AS (SELECT corpus, min(norm) AS norm, target FROM nearest GROUP BY corpus, target HAVING count(*) = 1),
-a1 AS (SELECT a.corpus, a.norm, coalesce(b.target, a.target) AS target FROM a0 a LEFT JOIN a0 b ON b.corpus = a.corpus AND b.norm = a.target)
-SELECT a.corpus, a.norm, coalesce(b.target, a.target) AS target FROM a1 a LEFT JOIN a1 b ON b.corpus = a.corpus AND b.norm = a.target""",
+found AS (SELECT corpus, min(norm) AS norm, target FROM nearest GROUP BY corpus, target HAVING count(*) = 1),
+stated AS (SELECT n.corpus, n.norm, m.norm AS target FROM names n JOIN names m ON m.corpus = n.corpus AND m.norm = string_split(n.norm, ' ')[1] WHERE len(string_split(n.norm, ' ')) = 2),
+links AS (SELECT * FROM stated UNION ALL SELECT corpus, norm, target FROM found f WHERE NOT EXISTS (SELECT 1 FROM stated s WHERE s.corpus = f.corpus AND s.norm = f.norm)),
+walk AS (SELECT corpus, norm, target, 1 AS n FROM links UNION ALL SELECT w.corpus, w.norm, l.target, n + 1 FROM walk w JOIN links l ON l.corpus = w.corpus AND l.norm = w.target WHERE n < 20)
+SELECT corpus, norm, target FROM walk w WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.corpus = w.corpus AND l.norm = w.target)""",
     "graph_edges": f"WITH RECURSIVE {_GRAPH} SELECT * FROM edges_all",
     "paths_bounded": f"WITH RECURSIVE {_GRAPH}, {_NAMED}, {_expand('near', _ENTITY_SEEDS, _RELS, 3)} SELECT * FROM near",
     "anchor_expand": f"WITH RECURSIVE {_GRAPH}, {_expand('near', _CHOSEN, _ALL, 4)} SELECT * FROM near",
@@ -299,7 +303,7 @@ f AS (SELECT corpus, count(*) AS facts, count_if(status = 'quarantined') AS quar
 r AS (SELECT corpus, count(DISTINCT rejection_id) AS rejections FROM rejections GROUP BY corpus)
 SELECT corpus, coalesce(turns, 0) AS turns, coalesce(facts, 0) AS facts, coalesce(quarantined, 0) AS quarantined, coalesce(superseded, 0) AS superseded, coalesce(rejections, 0) AS rejections
 FROM t FULL JOIN f USING (corpus) FULL JOIN r USING (corpus)""",
-    "paths_between": f"""WITH RECURSIVE {_GRAPH}, {_NAMED}, goals AS (SELECT DISTINCT step_id AS seed, 'session:' || corpus || ':' || sid AS goal FROM (SELECT step_id, corpus, unnest(must_cite_sessions) AS sid FROM asked)),
+    "paths_between": f"""WITH RECURSIVE {_GRAPH}, {_NAMED}, goals AS (SELECT DISTINCT a.step_id AS seed, 'session:' || f.corpus || ':' || f.sid AS goal FROM asked a JOIN facts_u f ON f.corpus = a.corpus AND f.subj = a.subj WHERE f.sid IS NOT NULL),
 both_ AS (SELECT src AS node, rel, dst AS next FROM edges_all UNION ALL SELECT dst, rel, src FROM edges_all),
 ways AS (SELECT DISTINCT seed, goal, node, [node] AS nodes, node AS path, 0 AS hops FROM ({_ENTITY_SEEDS}) JOIN goals USING (seed)
   UNION ALL SELECT seed, goal, next, list_append(nodes, next), path || ' ' || rel || ' ' || next, hops + 1 FROM ways w JOIN both_ b ON b.node = w.node WHERE hops < 4 AND w.node <> goal AND NOT list_contains(nodes, next))
