@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,8 @@ from veritrail.operators.shared import stage
 #: Bound of the sample on which the classifier is fitted.
 TRAIN_TEXTS = 40_000
 FEATURES = 1 << 16
+#: Texts of at most so many characters are remembered while a task runs (at most 20 000 of them).
+SHORT = 400
 
 #: Given names of several languages, the gazetteer unless a caller gives another.
 GIVEN_NAMES = """
@@ -56,13 +59,13 @@ class Gazetteer:
     """Given names: where a text has them."""
 
     def __init__(self, names: tuple[str, ...]):
-        self.names = frozenset(n.lower() for n in names)
-        listed = "|".join(sorted(map(re.escape, names), key=len, reverse=True)) or r"(?!)"
-        self.pattern = re.compile(rf"(?<![\w.@+'’\-])(?:{listed})(?![\w@+]|[.\-_](?=\w)|\s*\(?\[?at[\])]\s*\w)", re.I)
+        self.patterns = {n.lower(): re.compile(rf"(?<![\w.@+'’\-]){re.escape(n)}(?![\w@+]|[.\-_](?=\w)|\s*\(?\[?at[\])]\s*\w)", re.I) for n in names}
+        self.names = frozenset(self.patterns)
 
     def find(self, text: str, words: set[str]) -> list[re.Match]:
-        """Names in a text whose words, in lower case, are ``words``: most have none, which these tell faster."""
-        return [] if self.names.isdisjoint(words) else list(self.pattern.finditer(text))
+        """Names in a text whose words, in lower case, are ``words``: these tell which of the names to look for."""
+        there = self.names & words
+        return sorted((m for n in there for m in self.patterns[n].finditer(text)), key=re.Match.start) if there else []
 
 
 _INITIAL = re.compile(rf"(?<![\w./])(?P<i>[^\W\d_]\.(?:[ ]?[^\W\d_]\.)?)[ ](?P<s>{_PARTICLE}(?P<last>{_TOKEN}))(?![\w@+])")
@@ -417,12 +420,20 @@ def _hashed(features: list[str]) -> list[int]:
 def _propose(held, gazetteer: tuple[str, ...]):
     def propose(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon, known = Lexicon(*held.value), Gazetteer(gazetteer)
+
+        @lru_cache(maxsize=20_000)  # the same short texts come again and again
+        def proposed(text: str) -> tuple | None:
+            found = candidates(text, lexicon, known)
+            if not found:
+                return None
+            return [c[0] for c in found], [c[1] for c in found], [KINDS.index(c[2]) for c in found], [f"{c[2]}-{c[3]}:" + ",".join(map(str, c[4])) for c in found], [" ".join(map(str, _hashed(c[5]))) for c in found]
+
         for pdf in batches:
             rows = []
             for src, rec, text in zip(pdf["src"], pdf["rec_id"], pdf["text"]):
-                found = candidates(text, lexicon, known)
+                found = proposed(text) if len(text) <= SHORT else proposed.__wrapped__(text)
                 if found:
-                    rows.append((src, rec, [c[0] for c in found], [c[1] for c in found], [KINDS.index(c[2]) for c in found], [f"{c[2]}-{c[3]}:" + ",".join(map(str, c[4])) for c in found], [" ".join(map(str, _hashed(c[5]))) for c in found]))
+                    rows.append((src, rec, *found))
             yield pd.DataFrame(rows, columns=["src", "rec_id", "starts", "ends", "kinds", "votes", "features"])
 
     return propose
