@@ -2,7 +2,7 @@ import pytest
 
 from veritrail.functions import evaluation as ev
 from veritrail.operators import lexical, names
-from veritrail.operators.shared import derived
+from veritrail.operators.shared import derived, shared_dir, stage, staging
 
 NAMES = "corpus string, norm string, name string"
 
@@ -66,6 +66,17 @@ def test_derived_tables_follow_their_sources(spark, tmp_path):
     assert (read(), len(made)) == (5, 2)
 
 
+def test_staged_tables_end_with_their_scope(spark):
+    from pathlib import Path
+
+    shared_dir(spark)  # the folder itself outlives the scope
+    with staging():
+        inside = stage(spark.range(4), "scoped")
+        path = Path(inside.inputFiles()[0].removeprefix("file:").replace("//", "/")).parent
+        assert inside.count() == 4 and path.exists()
+    assert not path.exists()
+
+
 def test_unanswerable_rows_are_never_sampled_away(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2], i < 6) for i in range(300)], "id long, k string, off boolean")
     found = ev.sampled(df, "id", "k", "off", 40).collect()

@@ -6,7 +6,8 @@ import atexit
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from pathlib import Path
 
@@ -59,6 +60,19 @@ def _drop_all() -> None:
 atexit.register(_drop_all)
 
 
+@contextmanager
+def staging() -> Iterator[None]:
+    """Tables that are staged inside are removed at its end, so that a long-lived driver does not fill the
+    shared folder. What is derived from them must be written or collected inside."""
+    mark = len(_staged)
+    try:
+        yield
+    finally:
+        for spark, path in _staged[mark:]:
+            _drop(spark, path)
+        del _staged[mark:]
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 

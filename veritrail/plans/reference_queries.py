@@ -522,12 +522,17 @@ def ingest_report(spark, root):
 
 
 def walkthrough_check(spark, root):
-    """Answered steps that had to cite sessions, and whether a cited fact comes from one of them."""
-    must = table(spark, root, "walkthrough", "step_id", "must_cite_sessions").filter(F.size("must_cite_sessions") > 0)
-    sessions = table(spark, root, "facts", "fact_id", "sid").dropDuplicates(["fact_id"])
-    cited = _verdicts(spark, root).filter("answered").join(must, "step_id").select("verdict_id", "step_id", "must_cite_sessions", F.explode_outer("citations").alias("fact_id"))
-    hit = F.coalesce(F.array_contains("must_cite_sessions", F.col("sid")), F.lit(False))
-    return cited.join(sessions, "fact_id", "left").groupBy("verdict_id", "step_id").agg(F.max(hit).alias("met"))
+    """Verdicts on scripted steps against what the script expects: an answer, a citation of one of the
+    sessions it names, and enough refused items seen. A step that names no session expects none."""
+    steps = table(spark, root, "walkthrough", "step_id", "subj", "must_cite_sessions", "quarantined_seen_min")
+    facts = _facts(spark, root)
+    held = facts.filter((F.col("status") == "quarantined") | (F.coalesce("trank", F.lit(0)) < 1)).groupBy("corpus", "subj").agg(F.count("*").alias("seen"))
+    rows = _verdicts(spark, root).select("verdict_id", "step_id", "corpus", "answered", "citations").join(steps, "step_id").join(held, ["corpus", "subj"], "left")
+    cited = rows.select("verdict_id", "must_cite_sessions", F.explode("citations").alias("fact_id")).join(facts.select("fact_id", "sid"), "fact_id")
+    hit = cited.groupBy("verdict_id").agg(F.max(F.coalesce(F.array_contains("must_cite_sessions", F.col("sid")), F.lit(False))).alias("hit"))
+    due = F.coalesce(F.size("must_cite_sessions"), F.lit(0)) > 0
+    met = rows.join(hit, "verdict_id", "left").select("verdict_id", "step_id", (F.col("answered") == due).alias("answers"), (~due | F.coalesce("hit", F.lit(False))).alias("cites"), (F.coalesce("seen", F.lit(0)) >= F.coalesce("quarantined_seen_min", F.lit(0))).alias("refused_enough"))
+    return met.withColumn("passed", F.col("answers") & F.col("cites") & F.col("refused_enough"))
 
 
 def evidence_lines(spark, root):

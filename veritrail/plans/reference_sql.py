@@ -294,8 +294,11 @@ qw AS (SELECT step_id, unnest({_NOT_STOP % 'question'}) AS w FROM asked_w), nw A
 want AS (SELECT step_id, {stem_sql('w')} AS t FROM qw EXCEPT SELECT step_id, {stem_sql('w')} FROM nw),
 bw AS (SELECT fact_id, unnest({_NOT_STOP % "replace(concat_ws(' ', text, subj, pred, obj), '_', ' ')"}) AS w FROM facts_w), body AS (SELECT DISTINCT fact_id, {stem_sql('w')} AS t FROM bw)
 SELECT e.step_id, e.fact_id FROM ends e JOIN want w ON w.step_id = e.step_id LEFT JOIN body b ON b.fact_id = e.fact_id AND b.t = w.t GROUP BY ALL HAVING count(b.t) / count(*) >= 0.5""",
-    "walkthrough_check": f"""WITH {_VERDICTS}, {_FACTS}, m AS (SELECT verdict_id, v.step_id, must_cite_sessions AS ms, citations FROM verdicts_u v JOIN walkthrough w ON w.step_id = v.step_id WHERE answered AND len(must_cite_sessions) > 0)
-SELECT verdict_id, step_id, coalesce((SELECT max(list_contains(ms, f.sid)) FROM facts_u f WHERE list_contains(m.citations, f.fact_id)), false) AS met FROM m""",
+    "walkthrough_check": f"""WITH {_VERDICTS}, {_FACTS}, held AS (SELECT corpus, subj, count(*) AS seen FROM facts_u WHERE status = 'quarantined' OR coalesce(trank, 0) < 1 GROUP BY ALL),
+m AS (SELECT v.verdict_id, v.step_id, v.answered, must_cite_sessions AS ms, citations, coalesce(seen, 0) AS seen, coalesce(quarantined_seen_min, 0) AS least, coalesce(len(must_cite_sessions), 0) > 0 AS due
+  FROM verdicts_u v JOIN walkthrough w ON w.step_id = v.step_id LEFT JOIN held h ON h.corpus = v.corpus AND h.subj = w.subj),
+k AS (SELECT *, answered = due AS answers, NOT due OR coalesce((SELECT max(list_contains(ms, f.sid)) FROM facts_u f WHERE list_contains(m.citations, f.fact_id)), false) AS cites, seen >= least AS refused_enough FROM m)
+SELECT verdict_id, step_id, answers, cites, refused_enough, answers AND cites AND refused_enough AS passed FROM k""",
     "evidence_lines": f"""WITH w AS ({_WARRANT}), f AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY vfrom) = 1)
 SELECT step_id, w.fact_id, rank, f.sid, f.tidx, row_number() OVER (PARTITION BY step_id, f.corpus, f.sid, f.tidx ORDER BY rank) = 1 AS quoted FROM w JOIN f ON f.fact_id = w.fact_id""",
     "ingest_report": f"""WITH {_FACTS}, {_TURNS}, t AS (SELECT corpus, count(*) AS turns FROM turns_u GROUP BY corpus),
