@@ -51,6 +51,8 @@ def test_an_index_of_another_format_is_refused(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lexical, "FORMAT", 2)
     with pytest.raises(ValueError, match="format 1"):
         lexical.Index(spark, str(tmp_path / "i"))
+    with pytest.raises(FileNotFoundError):
+        lexical.Index(spark, str(tmp_path / "none"))
 
 
 def test_derived_tables_follow_their_sources(spark, tmp_path):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from veritrail.functions.text import content_words, stem
@@ -33,7 +34,13 @@ class Index:
     """A stored index: postings in folders by a hash of the term, document frequencies, corpus statistics."""
 
     def __init__(self, spark: SparkSession, path: str):
-        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+        try:
+            said = spark.read.text(f"{path}/meta").first()
+        except AnalysisException:
+            said = None
+        if said is None:  # it is written last
+            raise FileNotFoundError(f"{path}: no whole index")
+        meta = json.loads(said[0])
         if meta["format"] != FORMAT:
             raise ValueError(f"{path}: format {meta['format']}, this code reads {FORMAT}")
         self.scope, self.doc_id, self.buckets = meta["scope"], meta["doc_id"], meta["buckets"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from veritrail.functions import evaluation as ev
@@ -49,7 +48,7 @@ def _index(spark, root):
     path, _ = derived_path("postings", facts, turns)
     try:
         return lexical.Index(spark, path)
-    except AnalysisException:  # it is not there, or not whole
+    except FileNotFoundError:
         return lexical.store(evidence.fact_texts(_facts(spark, root), _turns(spark, root)), "corpus", "fact_id", "body", path)
 
 
