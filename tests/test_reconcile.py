@@ -61,7 +61,7 @@ def test_order_of_arrival_does_not_matter(spark, rows):
         claims, found = edges(spark, list(order))
         assert rows(found) == want
     assert {(r["fact_id"], r["vfrom"], r["vto"]) for r in rc.validity(claims, found).collect()} == {(1, 10, 20), (2, 20, 30), (3, 30, 0), (6, 10, 0)}
-    assert rows(rc.lineage(found)) == [(1, 0, 2), (2, 1, 1), (3, 2, 0)]
+    assert rows(rc.lineage(found)) == [(1, 0, 2, 1, 3), (2, 1, 1, 1, 3), (3, 2, 0, 1, 3)]
     assert rows(rc.refusals(spark.createDataFrame(facts, SCHEMA), found)) == [(7, 6, "tier-floor")]
 
 

@@ -34,7 +34,7 @@ def quotable(found: DataFrame, questions: DataFrame, facts: DataFrame, floor: fl
     return joined.filter(F.size(F.array_intersect("wanted", "held")) / F.size("wanted") >= coverage).select("step_id", "fact_id")
 
 
-def evidence(questions: DataFrame, facts: DataFrame, turns: DataFrame, edges: DataFrame, corroboration: DataFrame, single: DataFrame, k: int = 64, floor: float = 0.05, named: DataFrame | None = None, index: Index | None = None) -> DataFrame:
+def evidence(questions: DataFrame, facts: DataFrame, turns: DataFrame, edges: DataFrame, corroboration: DataFrame, single: DataFrame, k: int = 64, floor: float = 0.05, named: DataFrame | None = None, index: Index | None = None, counted: bool = False) -> DataFrame:
     """Ranked evidence per question: step_id, fact_id, rank, score, hops, lexical, chain.
 
     ``questions``: step_id, corpus, question, subj, as_of_epoch (null: now). ``single``: pred, the
@@ -43,7 +43,9 @@ def evidence(questions: DataFrame, facts: DataFrame, turns: DataFrame, edges: Da
     single-valued slot becomes the fact of its slot that held at the asked time; retracted and
     quarantined facts and those below tool rank are left out. Only facts of the question's corpus
     are candidates. A question without any has no row. ``index``: the stored index of the texts of
-    the facts (``fact_texts``); without it they are read. ``chain`` is the way on which a candidate was
+    the facts (``fact_texts``); without it they are read. With ``counted`` the result is one row per
+    question instead: step_id, considered (candidates), refused (of what they resolve to: quarantined
+    or below tool rank), warrantable (what is left to rank). ``chain`` is the way on which a candidate was
     reached first (fewest hops, then text order), with the step to the fact that took its place.
     """
     known = stage(facts.dropDuplicates(["fact_id"]), "evidence-facts")
@@ -79,6 +81,12 @@ def evidence(questions: DataFrame, facts: DataFrame, turns: DataFrame, edges: Da
     resolved = hydrated.join(chosen, ["step_id", *slot], "left").withColumn("target", F.when(F.col("single"), F.col("target")).otherwise(F.col("fact_id"))).filter(F.col("target").isNotNull())
     resolved = resolved.withColumn("path", F.when(F.col("target") == F.col("fact_id"), F.col("path")).otherwise(F.concat(F.col("path"), F.lit(" SUPERSEDES "), fact_node("target"))))
     folded = resolved.groupBy("step_id", F.col("target").alias("fact_id")).agg(F.min(F.struct("hops", "path")).alias("w"), F.max("anchor").alias("anchor"), F.max("lexical").alias("lexical"), F.max("neighbour").alias("neighbour")).select("step_id", "fact_id", "w.hops", "w.path", "anchor", "lexical", "neighbour")
+    if counted:
+        known_to = folded.join(placed.select("fact_id", "status", F.col("trank").alias("r")), "fact_id")
+        refused = (F.col("status") == "quarantined") | (F.coalesce("r", F.lit(0)) < 1)
+        sums = known_to.groupBy("step_id").agg(F.count_if(refused).alias("refused"), F.count_if(~refused & F.col("status").isin("active", "superseded")).alias("warrantable"))
+        none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+        return hydrated.groupBy("step_id").agg(F.count("*").alias("considered")).join(sums, "step_id", "left").select("step_id", "considered", none("refused"), none("warrantable"))
     good = folded.join(placed.filter(F.col("status").isin("active", "superseded") & (F.col("trank") >= 1)).select("fact_id", "trank", "vfrom"), "fact_id").join(corroboration, "fact_id", "left")
     by_step = Window.partitionBy("step_id")
     dated = good.withColumn("dr", F.dense_rank().over(by_step.orderBy("vfrom"))).withColumn("most", F.max("dr").over(by_step))

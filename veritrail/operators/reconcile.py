@@ -195,7 +195,8 @@ def confidence(claims: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def lineage(edges: DataFrame) -> DataFrame:
-    """How deep the chain of supersessions below and above every claim in one is: fact_id, older, newer.
+    """The chain of supersessions that every claim in one stands in: fact_id, older, newer (how many are
+    below and above it), oldest, head (its two ends).
 
     Depths are doubled by joining the step table with itself (a claim d steps down meets those d
     further), so a chain of n claims takes log2(n) rounds; it ends when nothing moves any more. A
@@ -210,7 +211,7 @@ def lineage(edges: DataFrame) -> DataFrame:
             far = jump.select(F.col("src").alias("dst"), F.col("dst").alias("further"), F.col("d").alias("more"))
             longer = stage(jump.join(far, "dst", "left").select("src", F.coalesce("further", "dst").alias("dst"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"), F.col("further").isNotNull().alias("moved")), "jump")
             if not longer.filter("moved").head(1):
-                return jump.select(F.col("src").alias("fact_id"), F.col("d").alias(name))
+                return jump.select(F.col("src").alias("fact_id"), F.col("d").alias(name), F.col("dst").alias(f"{name}_end"))
             jump = longer.drop("moved")
 
-    return depths(step, "older").join(depths(up, "newer"), "fact_id", "full").select("fact_id", F.coalesce("older", F.lit(0)).alias("older"), F.coalesce("newer", F.lit(0)).alias("newer"))
+    return depths(step, "older").join(depths(up, "newer"), "fact_id", "full").select("fact_id", F.coalesce("older", F.lit(0)).alias("older"), F.coalesce("newer", F.lit(0)).alias("newer"), F.coalesce("older_end", "fact_id").alias("oldest"), F.coalesce("newer_end", "fact_id").alias("head"))

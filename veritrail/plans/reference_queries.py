@@ -231,16 +231,20 @@ def neighbourhood(spark, root):
     return graph.surroundings(seeds, _edges(spark, root))
 
 
-def ranked_evidence(spark, root, questions):
+def ranked_evidence(spark, root, questions, counted=False):
     """Evidence for the given steps of the walkthrough."""
     single = table(spark, root, "predicates").filter(F.col("arity") == "single")
-    return evidence.evidence(questions, _facts(spark, root), _turns(spark, root), _edges(spark, root), reconcile.corroboration(_links(spark, root)), single, named=_named(spark, root, questions), index=_index(spark, root))
+    return evidence.evidence(questions, _facts(spark, root), _turns(spark, root), _edges(spark, root), reconcile.corroboration(_links(spark, root)), single, named=_named(spark, root, questions), index=_index(spark, root), counted=counted)
 
 
 def warrant_rank(spark, root):
     return ranked_evidence(spark, root, _questions(spark, root))
 
 
+def warrant_counts(spark, root):
+    return ranked_evidence(spark, root, _questions(spark, root), counted=True)
+
+
 def orphans(spark, root):
     placed = _turns(spark, root).select("corpus", "sid", F.col("idx").alias("tidx")).distinct()
     return _facts(spark, root).join(placed, ["corpus", "sid", "tidx"], "left_anti").select("fact_id")
@@ -546,7 +550,7 @@ QUERIES = {
     for f in (
         postings_build, tokenize_stem, bm25_topk, bm25_unindexed, turns_tiered, turn_windows, rag_chunks, token_budget, session_turn_counts, timeline_counts, source_stats,
         entity_normalize, canonical_keys, stable_ids, fact_dedupe_merge, first_seen, claims_merged, reconcile_edges, reconcile_contradict, reconcile_refusals, claim_confidence, validity_intervals, current_facts,
-        lineage_depth, facts_as_of, corroboration_degree, entity_exact_prefix, alias_fold, graph_edges, paths_bounded, anchor_expand, neighbourhood, warrant_rank,
+        lineage_depth, facts_as_of, corroboration_degree, entity_exact_prefix, alias_fold, graph_edges, paths_bounded, anchor_expand, neighbourhood, warrant_rank, warrant_counts,
         orphans, dangling_edges, leaked_citations, integrity_report, history_topn, rejections_topn, explain_fact, policy_screen, policy_rules, admission_decisions,
         condemned_facts, identity_claims, tier_floor_matrix, citation_membership, gate_checks, abstention_texts, gate_explain, audit_queries, audit_answers, audit_edges, retract_facts, qa_scorecard, qa_by_type, answered_split, attack_cases, attack_records, attack_digest, poison_scorecard, dataset_stats, fallback_judge,
         abstention_detect, stratified_sample, question_sample, entities_resolved, citation_changes, upsert_facts, extractive_gate, rules_extract, predicate_normalize, ingest_report, walkthrough_check, evidence_lines, paths_between,

@@ -162,7 +162,7 @@ _RELS = "'MENTIONS', 'DERIVED_FROM', 'SUPERSEDES', 'CORROBORATES'"
 _ALL = _RELS + ", 'IN_SESSION'"
 _GRAPH = f"{_CLAIMS}, {_TURNS}, {_ASKED}, {_EDGES}"
 
-_WARRANT = f"""WITH RECURSIVE {_GRAPH}, {_NAMED}, {_SEARCH},
+_CANDIDATES = f"""WITH RECURSIVE {_GRAPH}, {_NAMED}, {_SEARCH},
 {_expand('near', _ENTITY_SEEDS, _RELS, 3)},
 strong AS (SELECT * FROM hits WHERE rank <= 2 AND score >= 0.35),
 {_expand('tread', "SELECT step_id AS seed, 'fact:' || fact_id AS node FROM strong", _ALL, 4)},
@@ -183,7 +183,8 @@ picks AS (
 chosen AS (SELECT * FROM picks QUALIFY row_number() OVER (PARTITION BY step_id, corpus, ss, sp ORDER BY vfrom DESC, target DESC) = 1),
 resolved AS (SELECT h.step_id, CASE WHEN h.single THEN c.target ELSE h.fact_id END AS fact_id, hops, CASE WHEN h.single AND c.target <> h.fact_id THEN path || ' SUPERSEDES fact:' || c.target ELSE path END AS path, anchor, lexical, neighbour
   FROM hydrated h LEFT JOIN chosen c ON c.step_id = h.step_id AND c.corpus = h.corpus AND c.ss = h.ss AND c.sp = h.sp),
-folded AS (SELECT step_id, fact_id, min(hops) AS hops, arg_min(path, (hops, path)) AS path, max(anchor) AS anchor, max(lexical) AS lexical, max(neighbour) AS neighbour FROM resolved WHERE fact_id IS NOT NULL GROUP BY ALL),
+folded AS (SELECT step_id, fact_id, min(hops) AS hops, arg_min(path, (hops, path)) AS path, max(anchor) AS anchor, max(lexical) AS lexical, max(neighbour) AS neighbour FROM resolved WHERE fact_id IS NOT NULL GROUP BY ALL)"""
+_WARRANT = f"""{_CANDIDATES},
 good AS (
   SELECT f.*, trank, vfrom, coalesce(degree, 0) AS degree, dense_rank() OVER (PARTITION BY step_id ORDER BY vfrom) AS dr
   FROM folded f JOIN slots USING (fact_id) LEFT JOIN degrees USING (fact_id) WHERE status IN ('active', 'superseded') AND trank >= 1),
@@ -224,8 +225,9 @@ FROM records GROUP BY corpus, subj, pred, obj""",
     "current_facts": f"WITH RECURSIVE {_CLAIMS} SELECT corpus, slot_subj AS subj, slot_pred AS pred, fact_id FROM valid WHERE vto = 0",
     "lineage_depth": f"""WITH RECURSIVE {_CLAIMS}, down AS (SELECT src, max(dst) AS dst FROM edges_ WHERE rel = 'SUPERSEDES' GROUP BY src), up AS (SELECT dst AS src, max(src) AS dst FROM edges_ WHERE rel = 'SUPERSEDES' GROUP BY dst),
 below AS (SELECT src, dst, 1 AS d FROM down UNION ALL SELECT b.src, s.dst, d + 1 FROM below b JOIN down s ON s.src = b.dst),
-above AS (SELECT src, dst, 1 AS d FROM up UNION ALL SELECT b.src, s.dst, d + 1 FROM above b JOIN up s ON s.src = b.dst)
-SELECT fact_id, CAST(max(o) AS BIGINT) AS older, CAST(max(n) AS BIGINT) AS newer FROM (SELECT src AS fact_id, d AS o, 0 AS n FROM below UNION ALL SELECT src, 0, d FROM above) GROUP BY fact_id""",
+above AS (SELECT src, dst, 1 AS d FROM up UNION ALL SELECT b.src, s.dst, d + 1 FROM above b JOIN up s ON s.src = b.dst),
+b AS (SELECT src, max(d) AS d, arg_max(dst, d) AS e FROM below GROUP BY src), a AS (SELECT src, max(d) AS d, arg_max(dst, d) AS e FROM above GROUP BY src)
+SELECT coalesce(b.src, a.src) AS fact_id, CAST(coalesce(b.d, 0) AS BIGINT) AS older, CAST(coalesce(a.d, 0) AS BIGINT) AS newer, coalesce(b.e, a.src) AS oldest, coalesce(a.e, b.src) AS head FROM b FULL JOIN a ON a.src = b.src""",
     "facts_as_of": """SELECT corpus, subj, pred, fact_id FROM facts WHERE status IN ('active', 'superseded') AND vfrom <= 1735689600 AND (coalesce(vto, 0) = 0 OR vto > 1735689600)
 QUALIFY row_number() OVER (PARTITION BY corpus, subj, pred ORDER BY vfrom DESC, fact_id DESC) = 1""",
     "corroboration_degree": f"WITH RECURSIVE {_CLAIMS} SELECT * FROM degrees",
@@ -249,6 +251,9 @@ SELECT corpus, norm, target FROM walk w WHERE NOT EXISTS (SELECT 1 FROM links l
     "neighbourhood": f"""WITH RECURSIVE {_GRAPH}, {_NAMED}, {_expand('near', f"SELECT node AS seed, node FROM ({_ENTITY_SEEDS}) UNION SELECT node, node FROM ({_CHOSEN})", _RELS, 1)}
 SELECT seed, rel, src, dst FROM near JOIN edges_all ON node = src WHERE rel IN ({_RELS}) UNION SELECT seed, rel, src, dst FROM near JOIN edges_all ON node = dst WHERE rel IN ({_RELS})""",
     "warrant_rank": _WARRANT,
+    "warrant_counts": f"""{_CANDIDATES}, h AS (SELECT step_id, count(*) AS considered FROM hydrated GROUP BY step_id), s AS (SELECT step_id, status = 'quarantined' OR coalesce(trank, 0) < 1 AS off, status IN ('active', 'superseded') AS fit FROM folded JOIN slots USING (fact_id)),
+c AS (SELECT step_id, count_if(off) AS refused, count_if(NOT off AND fit) AS warrantable FROM s GROUP BY step_id)
+SELECT step_id, considered, coalesce(refused, 0) AS refused, coalesce(warrantable, 0) AS warrantable FROM h LEFT JOIN c USING (step_id)""",
     "orphans": f"WITH {_FACTS}, {_PLACED}, {_LOST} SELECT fact_id FROM lost",
     "dangling_edges": f"WITH {_VERDICTS}, {_CITED} SELECT verdict_id, fact_id FROM cited WHERE fact_id NOT IN (SELECT fact_id FROM facts)",
     "leaked_citations": f"WITH {_VERDICTS}, {_CITED} SELECT verdict_id, fact_id FROM cited WHERE answered AND fact_id IN (SELECT fact_id FROM facts WHERE status = 'quarantined')",
